@@ -1,0 +1 @@
+"""No operator here needs a stream: gaps are measured between integer intervals, not event times."""
