@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,8 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sigloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if "folder" not in _own:
+            _own["folder"] = "file://" + tempfile.mkdtemp(prefix="sigloom-")
+        folder = _own["folder"]
     return folder
 
 
