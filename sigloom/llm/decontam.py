@@ -81,12 +81,16 @@ class Items:
         classes: dict[int, list[int]] = {}
         for k, item in enumerate(self.items):
             classes.setdefault(math.ceil(math.log(len(item)) / math.log(1.1)) if len(item) > 10 else -len(item), []).append(k)
+        held = np.bincount(np.concatenate([np.unique(x) for x in self.items]), minlength=len(self.vocabulary)) if self.items else np.zeros(0, dtype=np.int64)
+        #: Words of few items: a passage has most of its item's, other text few of any.
+        self.rare = np.append(held <= max(2, len(self.items) // 100), [False] * 3)
         rng = np.random.default_rng(seed)
         self.classes = []
         for members in classes.values():
             sizes = [len(self.items[k]) for k in members]
             length, steps = max(sizes), max(2, 2 * min(sizes))
             need = min(s - int(EDITS * s) for s in sizes)
+            rare = min(int(self.rare[self.items[k]].sum()) - int(EDITS * len(self.items[k])) for k in members)
             block = np.full((len(members), length), -3, dtype=np.int64)
             for row, k in zip(block, members):
                 row[: len(self.items[k])] = self.items[k]
@@ -96,7 +100,7 @@ class Items:
             for column in keys.T:
                 order = np.argsort(column, kind="stable")
                 tables.append((column[order], np.array(members)[order]))
-            self.classes.append((length, steps, need, samples, tables))
+            self.classes.append((length, steps, need, rare, samples, tables))
 
     @staticmethod
     def keys(windows: np.ndarray, steps: int, samples: list) -> np.ndarray:
@@ -113,11 +117,10 @@ class Items:
 
     def candidates(self, flow: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place, item) where a window of the flow agrees with the item on some sample; -3 in the flow parts documents."""
-        known = np.concatenate([[0], np.cumsum(flow >= 0)])
-        starts = np.flatnonzero(flow >= 0)
-        for length, steps, need, samples, tables in self.classes:
-            ends = np.minimum(starts + length, len(flow))
-            some = starts[known[ends] - known[starts] >= need]
+        known, rare = (np.concatenate([[0], np.cumsum(x)]) for x in (flow >= 0, self.rare[flow]))
+        for length, steps, need, need_rare, samples, tables in self.classes:
+            ahead = lambda sums: np.append(sums[length:], np.full(min(length, len(flow) + 1) - 1, sums[-1]))[: len(flow)] - sums[:-1]
+            some = np.flatnonzero((ahead(rare) >= need_rare) & (ahead(known) >= need) & (flow >= 0))
             for at in range(0, len(some), WINDOWS):
                 part = some[at : at + WINDOWS]
                 index = part[:, None] + np.arange(length)
