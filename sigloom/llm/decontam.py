@@ -27,6 +27,8 @@ ITEM_BLOCK = 4000
 WINDOWS, CACHE_CHUNKS = 50_000, 400_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SKIP = -2
+#: Windows are embedded where they hold a run of words that an item has; a run that edits leave whole has more words than this only in vain.
+LONGEST_RUN = 4
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - CLOSE**SAMPLE))
 
 
@@ -68,6 +70,16 @@ def distance(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def gram_keys(symbols: np.ndarray, q: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit key of the q symbols from each start on."""
+    starts = np.arange(len(symbols) - q + 1) if starts is None else starts
+    keys = np.zeros(len(starts), dtype=np.uint64)
+    for i in range(q):
+        keys = (keys ^ (symbols[starts + i].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
 class Items:
     """A block of items, filed by length and by their samples' keys."""
 
@@ -81,16 +93,16 @@ class Items:
         classes: dict[int, list[int]] = {}
         for k, item in enumerate(self.items):
             classes.setdefault(math.ceil(math.log(len(item)) / math.log(1.1)) if len(item) > 10 else -len(item), []).append(k)
-        held = np.bincount(np.concatenate([np.unique(x) for x in self.items]), minlength=len(self.vocabulary)) if self.items else np.zeros(0, dtype=np.int64)
-        #: Words of few items: a passage has most of its item's, other text few of any.
-        self.rare = np.append(held <= max(2, len(self.items) // 100), [False] * 3)
+        #: An item with room for k edits falls into k + 1 runs of words, and a passage has one of them as it is.
+        self.runs = [min(LONGEST_RUN, len(x) // (int(EDITS * len(x)) + 1)) for x in self.items]
+        self.grams = {q: np.unique(np.concatenate([gram_keys(x, q) for x, own in zip(self.items, self.runs) if own == q])) for q in set(self.runs)}
         rng = np.random.default_rng(seed)
         self.classes = []
         for members in classes.values():
             sizes = [len(self.items[k]) for k in members]
             length, steps = max(sizes), max(2, 2 * min(sizes))
             need = min(s - int(EDITS * s) for s in sizes)
-            rare = min(int(self.rare[self.items[k]].sum()) - int(EDITS * len(self.items[k])) for k in members)
+            runs = sorted({self.runs[k] for k in members})
             block = np.full((len(members), length), -3, dtype=np.int64)
             for row, k in zip(block, members):
                 row[: len(self.items[k])] = self.items[k]
@@ -100,7 +112,7 @@ class Items:
             for column in keys.T:
                 order = np.argsort(column, kind="stable")
                 tables.append((column[order], np.array(members)[order]))
-            self.classes.append((length, steps, need, rare, samples, tables))
+            self.classes.append((length, steps, need, runs, samples, tables))
 
     @staticmethod
     def keys(windows: np.ndarray, steps: int, samples: list) -> np.ndarray:
@@ -115,12 +127,24 @@ class Items:
             self.cache[c] = self.vocabulary.get(word, -1) if word else SKIP
         return np.fromiter(map(self.cache.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
+    def has_gram(self, flow: np.ndarray, known: np.ndarray, q: int) -> np.ndarray:
+        """Where a run of q words begins that some item has."""
+        out = np.zeros(len(flow), dtype=bool)
+        starts = np.flatnonzero(known[q:] - known[:-q] == q)
+        keys = gram_keys(flow, q, starts)
+        at = np.minimum(np.searchsorted(self.grams[q], keys), len(self.grams[q]) - 1)
+        out[starts[self.grams[q][at] == keys]] = True
+        return out
+
     def candidates(self, flow: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place, item) where a window of the flow agrees with the item on some sample; -3 in the flow parts documents."""
-        known, rare = (np.concatenate([[0], np.cumsum(x)]) for x in (flow >= 0, self.rare[flow]))
-        for length, steps, need, need_rare, samples, tables in self.classes:
-            ahead = lambda sums: np.append(sums[length:], np.full(min(length, len(flow) + 1) - 1, sums[-1]))[: len(flow)] - sums[:-1]
-            some = np.flatnonzero((ahead(rare) >= need_rare) & (ahead(known) >= need) & (flow >= 0))
+        known = np.concatenate([[0], np.cumsum(flow >= 0)])
+        shared = {q: np.concatenate([[0], np.cumsum(self.has_gram(flow, known, q))]) for q in self.grams}
+        for length, steps, need, runs, samples, tables in self.classes:
+            ahead = lambda sums, size: np.append(sums[size:], np.full(min(size, len(flow) + 1) - 1, sums[-1]))[: len(flow)] - sums[:-1]
+            near = sum(ahead(shared[q], length + int(EDITS * length)) > 0 for q in runs) > 0
+            some = np.flatnonzero(near & (flow >= 0))
+            some = some[known[np.minimum(some + length, len(flow))] - known[some] >= need]
             for at in range(0, len(some), WINDOWS):
                 part = some[at : at + WINDOWS]
                 index = part[:, None] + np.arange(length)
