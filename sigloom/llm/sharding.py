@@ -75,8 +75,8 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
 def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null under this law), one row per document.
 
-    size: UTF-8 bytes of the text plus 1. A null text has no bytes: size 1, crc 0; all null texts are one group, as
-    all empty texts are. Null or repeated doc_ids are rows like others; slots are gapless from 0 in each shard. Other
+    size: UTF-8 bytes of the text plus 1. A null text has no bytes: size 1, crc 0; null and empty texts
+    are one group. Null or repeated doc_ids are rows like others; slots are gapless from 0 in each shard. Other
     columns are ignored. With fewer groups than shards some shards stay empty.
     """
     body = F.col(text).cast("binary")
@@ -85,7 +85,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
             F.col(doc_id).alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(text), 64 - ATOM_BITS).cast("int").alias("atom"),
+            F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 64 - ATOM_BITS).cast("int").alias("atom"),
         ).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_PARTS)).cast("int")),
         "shard-rows",
     )
