@@ -2,7 +2,8 @@
 
 Words of documents and items are compared in lower case, without marks at their ends. An item-sized window of a document is
 embedded by a random walk whose steps depend on the word at hand, which turns edit distance into Hamming distance; windows
-and items that agree on some sample of positions are candidates, and their edit distance decides.
+and items that agree on some sample of positions are candidates, and their edit distance decides. These find most passages. All
+others follow from the runs of words that the edits must leave whole, so that none is missed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 #: An item is in a document if a passage differs from it by at most so many edits per word of the item.
 EDITS = 0.2
 #: Positions of a sample; samples are repeated until a window that agrees with an item on CLOSE of the positions is found with odds of RECALL.
+#: Passages near the edit bound agree on less; they are found by the runs that edits leave whole.
 SAMPLE, CLOSE, RECALL = 4, 0.6, 0.99
 WALKS = 4
 #: Items at hand at once; a larger benchmark is gone through in blocks of about so many.
@@ -70,6 +72,18 @@ def distance(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def least_edits(item: np.ndarray, passage: np.ndarray) -> int:
+    """The least edit distance between item and any part of passage."""
+    steps = np.arange(len(passage) + 1)
+    row = np.zeros(len(steps), dtype=np.int64)
+    for i, word in enumerate(item, 1):
+        best = np.empty_like(row)
+        best[0] = i
+        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (passage != word))
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row.min())
+
+
 def gram_keys(symbols: np.ndarray, q: int, starts: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit key of the q symbols from each start on."""
     starts = np.arange(len(symbols) - q + 1) if starts is None else starts
@@ -96,6 +110,17 @@ class Items:
         #: An item with room for k edits falls into k + 1 runs of words, and a passage has one of them as it is.
         self.runs = [min(LONGEST_RUN, len(x) // (int(EDITS * len(x)) + 1)) for x in self.items]
         self.grams = {q: np.unique(np.concatenate([gram_keys(x, q) for x, own in zip(self.items, self.runs) if own == q])) for q in set(self.runs)}
+        #: By run size, the runs of which an item's passage has one as it is: keys in order, items, and places within the items.
+        self.anchors = {}
+        for q in self.grams:
+            found = [(k, j * (len(x) // (int(EDITS * len(x)) + 1))) for k, (x, own) in enumerate(zip(self.items, self.runs)) if own == q for j in range(int(EDITS * len(x)) + 1)]
+            keys = np.array([gram_keys(self.items[k][o : o + q], q)[0] for k, o in found], dtype=np.uint64)
+            order = np.argsort(keys, kind="stable")
+            self.anchors[q] = (keys[order], *np.array(found, dtype=np.int64)[order].T)
+        self.lengths = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.room = np.array([int(EDITS * len(x)) for x in self.items], dtype=np.int64)
+        #: Each item's words, as item and word in one number.
+        self.owned = np.unique(np.concatenate([k * len(self.vocabulary) + x for k, x in enumerate(self.items)])) if self.items else np.empty(0, dtype=np.int64)
         rng = np.random.default_rng(seed)
         self.classes = []
         for members in classes.values():
@@ -136,6 +161,30 @@ class Items:
         out[starts[self.grams[q][at] == keys]] = True
         return out
 
+    def anchored(self, flow: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place, item) where a passage may begin that holds one of the item's runs as it is, if enough of the item's words are around; no match is left out."""
+        known = np.concatenate([[0], np.cumsum(flow >= 0)])
+        for q, (keys, members, offsets) in self.anchors.items():
+            starts = np.flatnonzero(known[q:] - known[:-q] == q)
+            at = gram_keys(flow, q, starts)
+            low, high = np.searchsorted(keys, at, "left"), np.searchsorted(keys, at, "right")
+            n = high - low
+            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hits = np.unique(np.stack([np.repeat(starts, n) - offsets[which], members[which]]), axis=1)
+            for part in range(0, hits.shape[1], WINDOWS // 4):
+                place, item = hits[:, part : part + WINDOWS // 4]
+                first, last = np.maximum(place - self.room[item], 0), np.minimum(place + self.lengths[item] + 2 * self.room[item], len(flow))
+                some = known[last] - known[first] >= self.lengths[item] - self.room[item]
+                place, item, first, last = place[some], item[some], first[some], last[some]
+                if not len(place):
+                    continue
+                index = first[:, None] + np.arange(int((last - first).max()))
+                words = np.where(index < last[:, None], flow[np.minimum(index, len(flow) - 1)], -1)
+                pairs = item[:, None] * len(self.vocabulary) + words
+                own = (words >= 0) & (self.owned[np.minimum(np.searchsorted(self.owned, pairs), len(self.owned) - 1)] == pairs)
+                enough = own.sum(axis=1) >= self.lengths[item] - self.room[item]
+                yield from zip(place[enough].tolist(), item[enough].tolist())
+
     def candidates(self, flow: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place, item) where a window of the flow agrees with the item on some sample; -3 in the flow parts documents."""
         known = np.concatenate([[0], np.cumsum(flow >= 0)])
@@ -183,6 +232,22 @@ def found_in(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int,
         edits, words = distance(item, flow[place : min(place + len(item) + most, firsts[owner] + sizes[owner] - 1)])
         if edits <= most and words:
             best[owner, k] = min(best.get((owner, k), (most + 1, 0, 0)), (edits, place - int(firsts[owner]), words))
+    tried: set[tuple[int, int]] = set()
+    for place, k in items.anchored(flow):
+        item = items.items[k]
+        most = int(EDITS * len(item))
+        owner = int(np.searchsorted(firsts, max(place + most, 0), "right")) - 1
+        for owner in {owner, int(np.searchsorted(firsts, max(place, 0), "right")) - 1}:
+            start, stop = int(firsts[owner]), int(firsts[owner] + sizes[owner]) - 1
+            low, high = max(place - most, start), min(place + most + 1, stop)
+            if best.get((owner, k), (most + 1,))[0] == 0 or low >= high or least_edits(item, flow[low : min(high + len(item) + most, stop)]) > most:
+                continue
+            for at in range(low, high):
+                if (at, k) not in tried:
+                    tried.add((at, k))
+                    edits, words = distance(item, flow[at : min(at + len(item) + most, stop)])
+                    if edits <= most and words:
+                        best[owner, k] = min(best.get((owner, k), (most + 1, 0, 0)), (edits, at - start, words))
     return [(owner, items.ids[k], start, words, edits) for (owner, k), (edits, start, words) in sorted(best.items())]
 
 
