@@ -29,11 +29,18 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|sample|
 THRESHOLD = 5
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,127}"
-PAIR = re.compile(
-    rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\[["'](?P<item>[^"'\n]{{1,128}})["']\])?[ \t]{{0,16}}(?::=|=>|[:=])(?![:=])[ \t]{{0,16}}"""
-    r"""(?:(?:[rbuf]{1,2})?(?P<open>["'`])(?P<text>[^"'`\n]{1,4096})(?P=open)(?!["'`])|(?P<bare>[^\s"'`,;#(){}\[\]<>&|]{1,4096}))""",
-    re.ASCII,
+#: A target name and a sign. What follows is read by literal_at().
+TARGET = re.compile(rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\[["'](?P<item>[^"'\n]{{1,128}})["']\])?[ \t]{{0,16}}(?::=|=>|[:=])(?![:=])[ \t]*+""", re.ASCII)
+#: Literals end with their own quote, whatever other quotes they hold, and have no greatest length; those in three quotes or in backticks may have many lines.
+QUOTED = re.compile(
+    r"""(?:[rbufRBUF]{1,2})?(?:\"{3}(?P<three>(?:[^"\\]++|\\(?s:.)|"(?!""))++)\"{3}|'{3}(?P<trio>(?:[^'\\]++|\\(?s:.)|'(?!''))++)'{3}"""
+    r"""|"(?P<double>(?:[^"\\\n]++|\\(?s:.))++)"|'(?P<single>(?:[^'\\\n]++|\\(?s:.))++)'|`(?P<back>(?:[^`\\]++|\\(?s:.))++)`)"""
 )
+BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>&|]++""")
+#: A block of lines follows that are indented more than the name's line.
+BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?\n")
+ARMOUR = re.compile(r"""["'`]{0,3}(-----BEGIN [A-Z0-9 ]{1,64}-----)""")
+ARMOUR_END = "-----END "
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 IDENT = re.compile(rf"\$?\{{?({NAME})\}}?", re.ASCII)
 
@@ -51,22 +58,59 @@ def shape_score(value: str) -> int:
     return min(3, (kinds >= 2) + (kinds >= 3) + (len(value) >= 16) + (len(value) >= 32))
 
 
+def block_at(text: str, start: int, sign: int) -> int:
+    """The end of the lines from start on that are blank or indented more than the sign's line, the last blank ones left out."""
+    indent = lambda line: len(line) - len(line.lstrip(" \t"))
+    least, end, at = indent(text[text.rfind("\n", 0, sign) + 1 : sign]), start, start
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        if line.strip():
+            if indent(line) <= least:
+                break
+            end = at + len(line.rstrip())
+        at = stop + 1
+    return end
+
+
+def literal_at(text: str, at: int, sign: int, last_armour: int) -> tuple[int, int, bool, int] | None:
+    """(start, end, quoted, where to read on) of the literal or name there, without its quotes; last_armour: where the last ARMOUR_END is."""
+    armour = ARMOUR.match(text, at)
+    if armour and armour.end() <= last_armour:
+        end = text.find("-----", text.find(ARMOUR_END, armour.end()) + len(ARMOUR_END))
+        if end >= 0:
+            return armour.start(1), end + 5, True, end + 5
+    m = QUOTED.match(text, at)
+    if m:
+        return m.start(m.lastgroup), m.end(m.lastgroup), True, m.start(m.lastgroup)
+    m = BLOCK.match(text, at)
+    if m:
+        end = block_at(text, m.end(), sign)
+        start = m.end() + len(text[m.end() : end]) - len(text[m.end() : end].lstrip())
+        return (start, end, True, start) if end > m.end() else None
+    m = BARE.match(text, at)
+    return (m.start(), m.end(), False, m.end()) if m else None
+
+
 def pairs_of(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
     """(target name, value, start, end, quoted) of each assignment, whatever its syntax. Long texts without = and : cost nothing.
 
-    The scan starts at each sign and looks back over its line for the name, so its cost follows the number of signs.
+    The scan starts at each sign and looks back over its line for the name, so its cost follows the number of signs. Assignments
+    within a quoted literal are read as well.
     """
-    done = 0
+    done, last_armour = 0, text.rfind(ARMOUR_END)
     for sign in re.finditer("[:=]", text):
         if sign.start() < done:
             continue
         low = max(done, text.rfind("\n", max(0, sign.start() - 300), sign.start()) + 1, sign.start() - 300)
         back = re.search(rf"""["']?{NAME}["']?(?:\[["'][^"'\n]{{1,128}}["']\])?[ \t]{{0,16}}$""", text[low : sign.start()], re.ASCII)
-        m = PAIR.match(text, low + back.start()) if back else None
-        if m:
-            kind = "text" if m["text"] is not None else "bare"
-            yield m["item"] or m["name"], m[kind], m.start(kind), m.end(kind), kind == "text"
-            done = m.end(kind)
+        # A quote before the name that isn't the name's own opens what surrounds the assignment.
+        m = (TARGET.match(text, low + back.start()) or TARGET.match(text, low + back.start() + 1)) if back else None
+        found = literal_at(text, m.end(), sign.start(), last_armour) if m else None
+        if found:
+            start, end, quoted, done = found
+            yield m["item"] or m["name"], text[start:end], start, end, quoted
 
 
 def named_spans(text: str) -> list[tuple[int, int]]:
@@ -75,9 +119,11 @@ def named_spans(text: str) -> list[tuple[int, int]]:
         return []
     literals: dict[str, list[tuple[str, int, int]]] = {}
     flows: dict[str, set[str]] = {}
-    for name, value, start, end, quoted in pairs_of(text):
+    pairs = list(pairs_of(text))
+    targets = {name for name, *_ in pairs}
+    for name, value, start, end, quoted in pairs:
         ident = IDENT.fullmatch(value)
-        if not quoted and ident and ident[1] in literals.keys() | flows.keys():
+        if not quoted and ident and ident[1] in targets:
             flows.setdefault(ident[1], set()).add(name)
         else:
             literals.setdefault(name, []).append((value, start, end))
