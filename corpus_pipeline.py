@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +20,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_id, a number of each row's own: its file's and its place in there, the same whenever it is read. What isn't read from files is written first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = written(docs, "rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_index"))
+    paths = sorted(r[0] for r in placed.select("row_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "file_no long, row_file string")
+    return placed.join(F.broadcast(files), "row_file").select(*docs.columns, (F.shiftleft("file_no", 40) + F.col("row_index")).alias("row_id"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles alike to 0.8 or more: the one with the smallest doc_id."""
-    links = jaccard_join.link_documents(docs, n=5, percent=80)
-    copies = links.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group with five-word shingles alike to 0.8 or more: the one with the smallest doc_id, a null one last."""
+    rows = numbered(docs)
+    links = jaccard_join.link_documents(rows, n=5, percent=80, doc_id="row_id").select(F.col("doc_id").alias("row_id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
+    first = links.join(rows.select("row_id", "doc_id"), "row_id").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.row_id"), "row_id", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of the benchmark, items without an id included."""
+    rows = numbered(docs)
+    items = table(spark, sf_dir, "benchmark").select(F.xxhash64("text").alias("item_id"), "text")
+    leaks = decontam.find_leaks(rows, items, doc_id="row_id").select(F.col("doc_id").alias("row_id")).distinct()
+    return rows.join(leaks, "row_id", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
