@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.tokens import WORD_BPE, chunk_ids
-from sigloom.llm.util import written
+from sigloom.llm.tokens import SOME_BYTES, WORD_BPE, chunk_ids
+from sigloom.llm.util import in_parts, written
 
 CAPACITY = 4096
 #: What remains of a document after whole windows is cut to at most so many ids, so that windows can come out equal.
@@ -101,17 +101,15 @@ def cut_points(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
 
 def pieces_of(docs: DataFrame, doc_id: str, text: str, vocabulary: str, capacity: int, piece: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = chunk_ids(vocabulary)
+        ids = chunk_ids(vocabulary, specials=True)
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in in_parts(batches, 1, SOME_BYTES):
             rows: list[tuple] = []
-            flows = ids.ids_of([x or b"" for x in batch.column(1).to_pylist()])
-            for key, flow in zip(batch.column(0).to_pylist(), flows):
+            for key, flow in zip(batch.column(0).to_pylist(), ids.ids_of(batch.column(1))):
                 flow += end
                 n = len(flow) // 4
                 rows += [(key, s, size, zlib.crc32(flow[4 * s : 4 * (s + size)]), n) for s, size in cut_points(n, capacity, piece)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     source = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
     return source.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -121,12 +119,12 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
     A document's ids end with id 2, so a null or empty text is one piece of length 1. Null or repeated doc_ids are documents like
-    others, each row its own. Pieces are dealt into groups by hash, the number of groups following the number of ids;
-    no group or document gathers in one task as a whole. Other columns are ignored; an empty table gives none.
+    others, each row its own. The vocabulary's special tokens in a text are those tokens. Pieces are dealt into groups by a hash of their
+    place, so equal rows part, and the number of groups follows the number of ids; no group or document gathers in one task as a whole. Other columns are ignored; an empty table gives none.
     """
-    pieces = written(pieces_of(docs, doc_id, text, vocabulary, capacity, piece), "pieces")
+    pieces = written(pieces_of(docs, doc_id, text, vocabulary, capacity, piece).withColumn("row", F.monotonically_increasing_id()), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (group_windows * capacity)))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long, sequence_id long, offset long"
     return dealt.groupBy("bucket").applyInPandas(lambda pdf: pack_group(pdf, capacity), schema).drop("bucket")

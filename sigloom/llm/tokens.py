@@ -1,24 +1,29 @@
-"""Token ids of whole texts through a per-process cache of their space-separated chunks.
+"""Token ids of whole texts, many at once.
 
-The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in a row.
+The tokenizer drops white space and never joins across it, so a text's ids are those of its space-separated chunks in a row. Arrow splits
+the texts of a part into chunks and gives the distinct ones; of these, chunks of letters with marks behind them fall into words whose ids
+a worker remembers, and the others are encoded as they are. NumPy puts the chunks' ids in the texts' order.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 
-#: Chunks kept per Python worker; beyond, the cache starts anew.
-CACHE_CHUNKS = 500_000
-#: Bytes of text whose unknown chunks are looked up together.
-SOME_BYTES = 1_000_000
+#: Words that a Python worker remembers: those met since the last time that so many new ones came up, and those before.
+CACHE_WORDS = 250_000
+#: Bytes of text whose chunks are looked up together.
+SOME_BYTES = 4_000_000
+#: Words encoded by one call.
+AT_ONCE = 1024
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks of Latin letters, then ASCII punctuation without the apostrophe: normalising is lower-casing, and there are two pre-tokens.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-_shared: dict[str, "ChunkIds"] = {}
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+_shared: dict[tuple[str, bool], "ChunkIds"] = {}
 
 
 def byte_symbols() -> dict[int, str]:
@@ -28,15 +33,21 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def pieces_in_order(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of flat with these starts and sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class ChunkIds:
-    """ids_of(texts): each text's ids as little-endian unsigned 32-bit bytes. Special tokens' strings count as ordinary text."""
+    """flows(texts): the ids of all texts in a row and where each text's end. With specials, the special tokens' strings are those tokens; without, ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
         #: The same vocabulary for words whose normal form is known already.
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
@@ -44,59 +55,72 @@ class ChunkIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.symbols = byte_symbols()
-        self.words: dict[str, bytes] = {"": b""}
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Each word is one pre-token, so its last id, and no other, ends a word."""
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            flow = " ".join(w.encode().decode("latin-1").translate(self.symbols) for w in part)
+        self.symbols = byte_symbols() | {32: " "}
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of these words. Each is one pre-token, so its last id, and no other, ends a word."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            flow = " ".join(part).encode().decode("latin-1").translate(self.symbols)
             ids = np.array(self.bare.encode_batch_fast([flow], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops, body = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes()
-            start = 0
-            for w, stop in zip(part, stops.tolist()):
-                self.words[w] = body[start:stop]
-                start = stop
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.cache) + len(chunks) > CACHE_CHUNKS:
-            self.cache.clear()
-        if len(self.words) > CACHE_CHUNKS:
-            self.words = {"": b""}
-        plain = {}
-        for c in chunks:
-            found = PLAIN.fullmatch(text := c.decode())
-            if found:
-                plain[c] = (found[1].lower(), found[2])
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                self.cache[c] = b"".join(i.to_bytes(4, "little") for i in ids)
-        words = self.words
-        self._learn_words([w for w in {x for pair in plain.values() for x in pair} if w not in words])
-        for c, (letters, marks) in plain.items():
-            self.cache[c] = words[letters] + words[marks]
-
-    def ids_of(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        at = 0
-        while at < len(texts):
-            some, held = [], 0
-            while at < len(texts) and (not some or held < SOME_BYTES):
-                some.append(texts[at].split())
-                held += len(texts[at])
-                at += 1
-            every = set().union(*some)
-            new = every.difference(self.cache)
-            if new:
-                self._learn(new if len(self.cache) + len(new) <= CACHE_CHUNKS else every)
-            out += [b"".join(map(self.cache.__getitem__, chunks)) for chunks in some]
-        return out
-
-
-def chunk_ids(name: str = WORD_BPE) -> ChunkIds:
-    """One per worker process and vocabulary, kept across tasks."""
-    if name not in _shared:
-        _shared[name] = ChunkIds(public_tokenizers.path(name))
-    return _shared[name]
+            stops, body = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            found.update(zip(part, map(body.__getitem__, map(slice, [0, *stops], stops))))
+        return found
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words, in bytes."""
+        bodies = list(map(self.new.get, words))
+        met = self.old.get
+        again = {w: b for w in (w for w, x in zip(words, bodies) if x is None) if (b := met(w)) is not None}
+        fresh = again | self._learn([w for w, x in zip(words, bodies) if x is None and w not in again])
+        if len(self.new) + len(fresh) > CACHE_WORDS:
+            self.old, self.new = self.new, {"": b""}
+        self.new.update(fresh)
+        return [fresh[w] if b is None else b for w, b in zip(words, bodies)]
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the first and the number of them, of each chunk of a distinct lot."""
+        found = pc.extract_regex(chunks, pattern=PLAIN)
+        words = pa.chunked_array([pc.utf8_lower(found.field("letters")), found.field("marks")]).dictionary_encode().unify_dictionaries()
+        bodies = self._words(words.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist())
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        others = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks.filter(pa.array(~plain)).to_pylist()]
+        sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // 4
+        place = np.cumsum(sizes) - sizes
+        letters, marks = (words.chunk(i).indices.fill_null(0).to_numpy() for i in (0, 1))
+        # Each chunk's ids: its letters' and its marks', or those of its own encoding, behind all the words'.
+        own = np.array([len(x) for x in others], dtype=np.int64)
+        starts, counts = np.stack([place[letters], place[marks]], axis=1), np.stack([sizes[letters], sizes[marks]], axis=1)
+        starts[~plain, 0], counts[~plain, 0], counts[~plain, 1] = sizes.sum() + np.cumsum(own) - own, own, 0
+        flat = np.concatenate([np.frombuffer(b"".join(bodies), dtype="<u4"), np.array([i for x in others for i in x], dtype="<u4")])
+        every = pieces_in_order(flat, starts.reshape(-1), counts.reshape(-1))
+        n = counts.sum(axis=1)
+        return every, np.cumsum(n) - n, n
+
+    def flows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and how many each text has; texts are UTF-8, a null one has none."""
+        some = texts.cast(pa.binary()).fill_null(b"").cast(pa.string())
+        chunks = pc.ascii_split_whitespace(some)
+        coded = chunks.flatten().dictionary_encode()
+        if not len(coded):
+            return np.empty(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
+        flat, starts, sizes = self._chunks(coded.dictionary)
+        which = coded.indices.to_numpy()
+        ends = np.append(0, np.cumsum(sizes[which]))[np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy()))]
+        return pieces_in_order(flat, starts[which], sizes[which]), np.diff(ends)
+
+    def ids_of(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        flat, sizes = self.flows(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        body, ends = flat.tobytes(), (np.cumsum(sizes) * 4).tolist()
+        return list(map(body.__getitem__, map(slice, [0, *ends], ends)))
+
+
+def chunk_ids(name: str = WORD_BPE, specials: bool = False) -> ChunkIds:
+    """One per worker process, vocabulary and treatment of special tokens, kept across tasks."""
+    if (name, specials) not in _shared:
+        _shared[name, specials] = ChunkIds(public_tokenizers.path(name), specials)
+    return _shared[name, specials]
