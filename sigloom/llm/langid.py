@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.util import crc32_of_id
+from sigloom.llm.util import crc32_of_id, free_name, in_parts
 
 HIDDEN = 8
 #: Bytes of a window; texts are cut into windows from their first byte to their last, each byte in exactly one.
@@ -178,7 +178,7 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, learn: Column, si
     rate = F.create_map(*[x for r in counts for x in (F.lit(r[lang]), F.lit(1.5 * size / r["n"]))])
     n = F.length(text)
     parts = F.array(*[F.substr(text, (n * share).cast("int") + 1, F.lit(WINDOW)) for share in (0.0, 0.35, 0.7)])
-    rows = labelled.filter(draw < F.try_element_at(rate, F.col(lang))).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(parts)).alias("part")).limit(9 * size * len(counts)).collect()
+    rows = labelled.filter(draw < F.try_element_at(rate, F.col(lang))).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(parts)).alias("part")).orderBy(F.xxhash64("part"), "part", "lang").limit(9 * size * len(counts)).collect()
     rows = sorted((r["lang"], r["part"].encode()[:WINDOW]) for r in rows if r["part"])
     return [p for _, p in rows], [x for x, _ in rows]
 
@@ -192,13 +192,16 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     learn = F.lit(True) if learn is None else learn
     net = train(*sample(docs, doc_id, text, lang, learn, sample_docs))
-    kept = docs.drop("lang_pred", "score", "lid_letter")
+    kept = docs.drop("lang_pred", "score")
+    letter = free_name(kept, "has_letter")
     schema = T.StructType([*kept.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    at = kept.columns.index(text)
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, at):
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            letters = batch.column(batch.schema.get_field_index("lid_letter")).to_pylist()
+            letters = batch.column(batch.schema.get_field_index(letter)).to_pylist()
             rows = [k for k, x in enumerate(letters) if x and net.langs]
             names, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             todo: list[int] = []
@@ -212,10 +215,10 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     for i, best, s in zip(todo, p.argmax(axis=1), p.max(axis=1)):
                         names[i], scores[i] = net.langs[best], min(1.0, float(s))
                     todo, held = [], 0
-            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != "lid_letter"]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != letter]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
 
-    return kept.withColumn("lid_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(predict, schema)
+    return kept.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(predict, schema)
 
 
 def held_out(doc_id: Column) -> Column:
