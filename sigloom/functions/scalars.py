@@ -37,9 +37,14 @@ def bitvector(values: Column, selected: list[int]) -> Column:
     return F.array(*[F.array_contains(values, F.lit(x)).cast("int") for x in selected])
 
 
+def letters(text: Column) -> Column:
+    """All letters of a text as residues."""
+    return F.translate(F.regexp_replace(F.translate(text, LOWER, LOWER.upper()), "[^A-Z]", ""), "BJOUXZ", "ACDEFG")
+
+
 def residues(text: Column, size: int) -> Column:
-    """Letters of a text as residues, the first size of them."""
-    return F.substring(F.translate(F.regexp_replace(F.translate(text, LOWER, LOWER.upper()), "[^A-Z]", ""), "BJOUXZ", "ACDEFG"), 1, size)
+    """Letters of a text as residues, the first size of them; what follows these isn't looked at."""
+    return letters(F.regexp_extract(text, f"^(?:[^A-Za-z]*[A-Za-z]){{0,{size}}}", 0))
 
 
 def valid_alphabet(sequence: Column) -> Column:
@@ -48,8 +53,8 @@ def valid_alphabet(sequence: Column) -> Column:
 
 def features(sequence: Column, properties: dict[str, list[float]]) -> Column:
     """The residues' properties in a row; an unknown residue raises."""
-    table = F.create_map(*[x for k, v in properties.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    known = lambda c: F.coalesce(F.try_element_at(table, c), F.raise_error(F.concat(F.lit("unknown residue "), c)))
+    table = F.array(*[F.array(*map(F.lit, v)) for v in properties.values()])
+    known = lambda c: F.coalesce(F.get(table, F.instr(F.lit("".join(properties)), c) - 1), F.raise_error(F.concat(F.lit("unknown residue "), c)))
     return F.flatten(F.transform(F.filter(F.split(sequence, ""), lambda c: c != ""), known))
 
 
@@ -64,6 +69,11 @@ def domain_number(synonym: Column) -> Column:
     return F.when(number != "", number.cast("int")).otherwise(F.raise_error(F.concat(F.lit("not a domain name: "), synonym)).cast("int"))
 
 
+def display_name(name: Column) -> Column:
+    """What stands before the first white space."""
+    return F.split(F.trim(name), r"\s+")[0]
+
+
 def header(name: Column, number: Column, start: Column, end: Column, s1: str = "|", s2: str = "_", s3: str = "-") -> Column:
     return F.concat(name, F.lit(f"{s1}domain{s2}"), number.cast("string"), F.lit(s1), start.cast("string"), F.lit(s3), end.cast("string"))
 

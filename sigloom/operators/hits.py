@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of detection.
 LEAST_SCORE, GAP, REACH, LEAST_LENGTH, LEAST_OVERLAP = 20, 60, 200, 100, 50
+#: Places of a stretch under which intervals are filed.
+BIN = 1024
 
 
 def filter_hits(hits: DataFrame) -> DataFrame:
@@ -53,24 +55,32 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, lea
     return one(a_start, b_start, b_end) | one(b_start, a_start, a_end)
 
 
-def _condition():
-    return (F.col("a.seq_id") == F.col("b.seq_id")) & overlaps(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs of overlapping rows of a and b, of the same sequence, as a.* and b.*.
+
+    Rows are filed under each stretch of BIN places that they touch, and meet in the one where the later of the two starts: a join on sequence
+    and stretch, so that a long sequence with many rows isn't compared all with all.
+    """
+    filed = lambda d, name: d.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.greatest("start", "end") / BIN)))).alias(name)
+    first = F.floor(F.greatest("a.start", "b.start") / BIN) == F.col("a.bin")
+    same = (F.col("a.seq_id") == F.col("b.seq_id")) & (F.col("a.bin") == F.col("b.bin")) & first
+    return filed(a, "a").join(filed(b, "b"), same & overlaps(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")))
 
 
 def interval_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a's rows with each overlapping row of b, of the same sequence: an equi-join with a residual condition."""
-    return a.alias("a").join(b.alias("b"), _condition()).select("a.*", F.col("b.start").alias("o_start"), F.col("b.end").alias("o_end"))
+    """a's rows with each overlapping row of b, of the same sequence."""
+    return _met(a, b).select(*[F.col(f"a.`{c}`") for c in a.columns], F.col("b.start").alias("o_start"), F.col("b.end").alias("o_end"))
 
 
 def interval_anti(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.alias("a").join(b.alias("b"), _condition(), "left_anti")
+    """a's rows (seq_id, start, end, ...) that overlap none of b."""
+    return a.join(_met(a, b).select("a.seq_id", "a.start", "a.end").distinct(), ["seq_id", "start", "end"], "left_anti").select(a.columns)
 
 
 def longest_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """a's rows, with the coordinates of the longest overlapping row of b where that is strictly longer."""
-    joined = a.alias("a").join(b.alias("b"), _condition(), "left")
-    pick = F.max(F.when(F.col("b.start").isNotNull(), F.struct((F.col("b.end") - F.col("b.start")).alias("size"), (-F.col("b.start")).alias("first"), F.col("b.end").alias("e")))).alias("l")
-    best = joined.groupBy("a.seq_id", "a.start", "a.end").agg(pick)
+    pick = F.max(F.struct((F.col("b.end") - F.col("b.start")).alias("size"), (-F.col("b.start")).alias("first"), F.col("b.end").alias("e"))).alias("l")
+    best = a.select("seq_id", "start", "end").distinct().join(_met(a, b).groupBy("a.seq_id", "a.start", "a.end").agg(pick), ["seq_id", "start", "end"], "left")
     longer = F.col("l.size") > F.col("end") - F.col("start")
     return best.select("seq_id", F.when(longer, -F.col("l.first")).otherwise(F.col("start")).alias("start"), F.when(longer, F.col("l.e")).otherwise(F.col("end")).alias("end"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import equivalent, jaccard, same_set
@@ -14,19 +14,28 @@ def equivalent_pairs(a: DataFrame, b: DataFrame, kmer: int = KMER) -> DataFrame:
     """(id, other) of equivalent sequences of a and b (id, seq), by lossless blocking.
 
     The overlap covers the middle of the shorter sequence (length m, from m - t to t, t = int(0.8 m)), so the k-mer at that middle's start occurs
-    in the longer one. Sequences whose middle is shorter than a k-mer are blocked on its first letters instead, with shorter k-mers of the other side.
+    in the longer one. Where the middle is shorter than a k-mer it is one itself; sequences of one or two letters, which have none, are looked up by
+    each of their letters. The other side has k-mers of just the sizes that come up, a dozen at most.
     """
     a, b = a.filter("seq <> ''"), b.filter("seq <> ''")
     m = F.length("seq")
     t = F.floor(m * 0.8).cast("int")
-    size = F.least(F.lit(kmer), F.greatest(2 * t - m, F.lit(0)))
-    anchor = lambda d, c: d.select(F.col("id").alias(c), F.col("seq").alias(f"{c}_seq"), size.alias("k"), F.substr("seq", m - t + 1, size).alias("gram"))
-    sizes = F.array(*[F.lit(k) for k in range(kmer + 1)])
-    grams = lambda d, c: d.select(F.col("id").alias(c), F.col("seq").alias(f"{c}_seq"), F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), m - k + 1)), lambda i: F.struct(k.alias("k"), F.substr("seq", i, k).alias("gram"))))))).alias("g")).select(c, f"{c}_seq", "g.k", "g.gram")
-    one = anchor(a, "id").join(grams(b, "other"), ["k", "gram"])
-    two = grams(a, "id").join(anchor(b, "other"), ["k", "gram"])
+    size = F.least(F.lit(kmer), 2 * t - m)
+    middle = F.when(size > 0, F.array(F.substr("seq", m - t + 1, size))).otherwise(F.array_distinct(F.array(F.left("seq", F.lit(1)), F.right("seq", F.lit(1)))))
+    anchor = lambda d, c: d.select(F.col("id").alias(c), F.col("seq").alias(f"{c}_seq"), F.explode(middle).alias("gram"))
+    sizes = lambda d: sorted(r[0] for r in d.select(F.greatest(size, F.lit(1)).alias("k")).distinct().collect())
+
+    def runs(k: int):
+        return F.when(m >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), m - k + 1)), lambda i: F.substr("seq", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    def grams(d: DataFrame, c: str, held: list[int]) -> DataFrame:
+        every = [runs(k) for k in held]
+        return d.select(F.col("id").alias(c), F.col("seq").alias(f"{c}_seq"), F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
+
     cols = ["id", "other", "id_seq", "other_seq"]
-    return one.select(cols).union(two.select(cols)).distinct().filter(equivalent(F.col("id_seq"), F.col("other_seq"))).select("id", "other")
+    one = anchor(a, "id").join(grams(b, "other", sizes(a) or [1]), "gram").select(cols)
+    two = grams(a, "id", sizes(b) or [1]).join(anchor(b, "other"), "gram").select(cols)
+    return one.union(two).distinct().filter(equivalent(F.col("id_seq"), F.col("other_seq"))).select("id", "other")
 
 
 def specificity_match(a, b):
@@ -35,11 +44,12 @@ def specificity_match(a, b):
 
 
 def occurrences(texts: DataFrame, token: str) -> DataFrame:
-    """(id, nth, start): the non-overlapping literal occurrences of token in text, 0-based, from left to right."""
-    parts = F.split("text", r"\Q" + token + r"\E", -1)
-    sized = texts.select("id", F.transform(parts, lambda p: F.length(p)).alias("sizes"))
-    starts = F.transform(F.slice("sizes", 1, F.size("sizes") - 1), lambda x, i: F.aggregate(F.slice("sizes", 1, i + 1), F.lit(0), lambda s, y: s + y) + i * len(token))
-    return sized.select("id", F.posexplode(starts).alias("nth", "start"))
+    """(id, nth, start): the non-overlapping literal occurrences of token in text, 0-based, from left to right: what stands between them is summed up once."""
+    sized = texts.select("id", F.monotonically_increasing_id().alias("row"), F.transform(F.split("text", r"\Q" + token + r"\E", -1), lambda p: F.length(p)).alias("sizes"))
+    parts = sized.select("id", "row", F.posexplode("sizes").alias("nth", "size"))
+    w = Window.partitionBy("row").orderBy("nth")
+    placed = parts.withColumns({"start": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("nth") * len(token), "more": F.lead("nth").over(w).isNotNull()})
+    return placed.filter("more").select("id", "nth", F.col("start").cast("int").alias("start"))
 
 
 def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -49,13 +59,24 @@ def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(id, other, jaccard) of pairs with id < other: counted over shared members, so pairs without one never meet."""
+    """(id, other, jaccard) of pairs with id < other and a Jaccard similarity of least or more.
+
+    Members are ordered by how many sets have them; two sets that are similar enough meet in the first n - ceil(least * n) + 1 of each, and their
+    sizes differ by least at most. Only such pairs are compared.
+    """
     sized = sets.select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
     members = sized.select("id", "n", F.explode("values").alias("member"))
-    other = members.select(F.col("id").alias("other"), F.col("n").alias("other_n"), "member")
-    shared = members.join(other, "member").filter(F.col("id") < F.col("other")).groupBy("id", "other", "n", "other_n").agg(F.count(F.lit(1)).alias("common"))
-    value = F.col("common") / (F.col("n") + F.col("other_n") - F.col("common"))
-    return shared.select("id", "other", value.alias("jaccard")).filter(F.col("jaccard") >= least)
+    ordered = members.join(members.groupBy("member").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "member")
+    own = Window.partitionBy("id").orderBy("c", "member")
+    # Members that no other set has come first in the order and use up places.
+    ahead = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")) + F.row_number().over(own)
+    prefix = ordered.withColumn("place", ahead).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    side = lambda c: prefix.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), "member")
+    fits = (F.col("id_n") >= least * F.col("other_n") - 1e-9) & (F.col("other_n") >= least * F.col("id_n") - 1e-9)
+    pairs = side("id").join(side("other"), "member").filter((F.col("id") < F.col("other")) & fits).select("id", "other").distinct()
+    held = lambda c: sized.select(F.col("id").alias(c), F.col("values").alias(f"{c}_values"))
+    both = pairs.join(held("id"), "id").join(held("other"), "other")
+    return both.select("id", "other", jaccard(F.col("id_values"), F.col("other_values")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 __all__ = ["equivalent_pairs", "specificity_match", "occurrences", "same_sets", "jaccard_pairs", "jaccard"]

@@ -60,20 +60,20 @@ def preset(name: str, tables: tuple[str, ...], sql: str, oracle: str | None = No
 def annotated_by_taxon(spark, sf):
     proteins = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     linked = t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey").join(proteins.select("s_suppkey", "r_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return linked.groupBy(F.col("r_name").alias("taxon")).agg(F.countDistinct("l_orderkey").alias("domains"))
+    return linked.select("r_name", "l_orderkey").distinct().groupBy(F.col("r_name").alias("taxon")).agg(F.count(F.lit(1)).alias("domains"))
 
 
 TAXA = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
 preset("by_substrate", ("lineitem", "orders", "supplier", "nation", "part", "customer"), f"SELECT l_orderkey AS domain_id, max(s_name) AS protein, count(*) AS links, min(c_name) AS synonym {TAXA} JOIN part ON l_partkey = p_partkey LEFT JOIN customer ON o_custkey = c_custkey WHERE p_brand = 'Brand#13' GROUP BY l_orderkey")
 preset("by_protein", ("lineitem", "orders", "supplier", "nation", "part", "customer"), f"SELECT l_orderkey AS domain_id, l_linenumber AS domain_number, n_name AS species, p_name AS substrate, c_name AS synonym {TAXA} LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN customer ON o_custkey = c_custkey WHERE l_suppkey = 7")
-preset("by_species", ("lineitem", "orders", "supplier", "nation", "part"), f"SELECT s_name AS protein, l_orderkey AS domain_id, count(p_partkey) AS substrates {TAXA} LEFT JOIN part ON l_partkey = p_partkey WHERE lower(n_name) = 'france' GROUP BY s_name, l_orderkey")
-preset("taxon_domains_distinct", ("lineitem", "orders", "supplier", "nation"), f"SELECT DISTINCT o_orderkey AS domain_id {TAXA} WHERE n_name = 'GERMANY'")
+preset("by_species", ("lineitem", "orders", "supplier", "nation", "part"), f"SELECT s_name AS protein, l_orderkey AS domain_id, count(p_partkey) AS substrates {TAXA} LEFT JOIN part ON l_partkey = p_partkey WHERE lower(n_name) = 'nation_6' GROUP BY s_name, l_orderkey")
+preset("taxon_domains_distinct", ("lineitem", "orders", "supplier", "nation"), f"SELECT DISTINCT o_orderkey AS domain_id {TAXA} WHERE n_name = 'NATION_7'")
 preset("domains_by_synonym", ("orders", "customer"), "SELECT o_orderkey AS domain_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_name = 'Customer#000000007')")
 preset("proteins_by_domain_synonym", ("lineitem", "orders", "supplier", "customer"), "SELECT DISTINCT s_suppkey AS protein_id, s_name AS protein FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_name = 'Customer#000000007'")
 preset("domains_by_protein_synonym", ("lineitem", "orders", "supplier"), "SELECT DISTINCT o_orderkey AS domain_id FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE s_suppkey = 3")
 preset("names_in_list", ("orders", "customer"), "SELECT DISTINCT o_orderkey AS domain_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000010')")
 preset("lower_eq", ("part",), "SELECT p_partkey AS id, p_name AS name FROM part WHERE lower(p_brand) = lower('BRAND#21')")
-preset("nocase_eq", ("nation",), "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_name COLLATE UTF8_LCASE = 'france'", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_name COLLATE NOCASE = 'france'")
+preset("nocase_eq", ("customer",), "SELECT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_mktsegment COLLATE UTF8_LCASE = 'machinery'", "SELECT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_mktsegment COLLATE NOCASE = 'machinery'")
 preset("listagg_synonyms", ("orders", "customer"), "SELECT o_orderkey AS domain_id, listagg(c_name, '|') WITHIN GROUP (ORDER BY c_name) AS name FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderkey", "SELECT o_orderkey AS domain_id, string_agg(c_name, '|' ORDER BY c_name) AS name FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderkey")
 preset("rollup_all", ("lineitem", "part"), "SELECT coalesce(p_brand, 'all') AS label, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ROLLUP (p_brand)")
 preset("occurs_range_containment", ("lineitem",), "SELECT a.l_orderkey AS domain_id, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_shipdate <= b.l_shipdate AND b.l_quantity <= a.l_quantity AND a.l_linenumber <> b.l_linenumber GROUP BY a.l_orderkey")
@@ -185,25 +185,32 @@ def part_sequences(spark, sf):
 
 
 PART_SEQ = "p AS (SELECT p_partkey AS id, left(translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'BJOUXZ', 'ACDEFG'), 34) AS seq FROM part), q AS (SELECT * FROM p WHERE seq <> '')"
-EQUIV = "(contains(a.seq, b.seq) OR contains(b.seq, a.seq) OR len(list_filter(range(greatest(CAST(floor(least(len(a.seq), len(b.seq)) * 0.8) AS BIGINT), 1), least(len(a.seq), len(b.seq)) + 1), lambda k: right(a.seq, k) = left(b.seq, k) OR right(b.seq, k) = left(a.seq, k))) > 0)"
-
-
-@query(f"WITH {PART_SEQ}, r AS (SELECT * FROM q) SELECT a.seq AS seq, b.seq AS other FROM (SELECT DISTINCT seq FROM q) a JOIN (SELECT DISTINCT seq FROM r) b ON {EQUIV}")
+@query(f"""WITH d AS (SELECT {CLEAN} AS a FROM documents WHERE text IS NOT NULL), q AS (SELECT DISTINCT substr(a, CAST(i * 34 + 1 AS INT), 34) AS seq FROM (SELECT a, unnest(range(len(a) // 34)) AS i FROM d)),
+  o AS (SELECT x.seq AS a, y.seq AS b FROM (SELECT seq, unnest(range(27, 35)) AS k FROM q) x JOIN (SELECT seq, unnest(range(27, 35)) AS k FROM q) y ON x.k = y.k AND right(x.seq, x.k) = left(y.seq, y.k))
+  SELECT a AS seq, b AS other FROM o UNION SELECT b, a FROM o""")
 def seq_equivalent(spark, sf):
-    seqs = part_sequences(spark, sf).select(F.col("seq").alias("id"), "seq").distinct()
+    """Pairs of equivalent pieces of 34 letters, of all that documents fall into."""
+    letters = t(spark, sf, "documents").filter("text is not null").select(S.letters(F.col("text")).alias("a"))
+    pieces = letters.select(F.explode(F.filter(F.split(F.regexp_replace("a", "(.{34})", "$1 "), " "), lambda x: F.length(x) == 34)).alias("seq")).distinct()
+    seqs = pieces.select(F.col("seq").alias("id"), "seq")
     return M.equivalent_pairs(seqs, seqs).select(F.col("id").alias("seq"), "other")
 
 
-SETS = "a AS (SELECT l_orderkey AS k, l_suppkey % 5 AS v FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT l_orderkey AS k, l_suppkey % 5 AS v FROM lineitem WHERE l_linenumber >= 3), x AS (SELECT k, string_agg(DISTINCT v, ',' ORDER BY v) AS va FROM a GROUP BY k), y AS (SELECT k, string_agg(DISTINCT v, ',' ORDER BY v) AS vb FROM b GROUP BY k)"
+def _ordered(name: str, where: str, column: str) -> str:
+    return f"{name} AS (SELECT k, string_agg(v, ',' ORDER BY f, v) AS {column} FROM (SELECT l_orderkey AS k, CAST(l_suppkey % 5 AS VARCHAR) AS v, min(l_linenumber) AS f FROM lineitem WHERE {where} GROUP BY 1, 2) GROUP BY k)"
+
+
+SETS = _ordered("x", "l_linenumber <= 3", "va") + ", " + _ordered("y", "l_linenumber >= 3", "vb")
 
 
 def two_sets(spark, sf):
+    """Each order's labels by line, in the order in which they come up, before and after the third line."""
     lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 5).cast("string").alias("v"), "l_linenumber")
-    side = lambda d, c: d.groupBy("k").agg(F.array_sort(F.collect_set("v")).alias(c))
+    side = lambda d, c: d.groupBy("k", "v").agg(F.min("l_linenumber").alias("f")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias(c))
     return side(lines.filter("l_linenumber <= 3"), "va"), side(lines.filter("l_linenumber >= 3"), "vb")
 
 
-@query(f"WITH {SETS} SELECT x.k AS id, CASE WHEN va = vb THEN 'match' WHEN list_has_any(string_split(va, ','), string_split(vb, ',')) THEN 'partial_mismatch' ELSE 'full_mismatch' END AS kind FROM x JOIN y USING (k)")
+@query(f"WITH {SETS} SELECT x.k AS id, CASE WHEN va = vb THEN 'match' WHEN list_sort(string_split(va, ',')) = list_sort(string_split(vb, ',')) THEN 'mismatching_order' WHEN list_has_any(string_split(va, ','), string_split(vb, ',')) THEN 'partial_mismatch' ELSE 'full_mismatch' END AS kind FROM x JOIN y USING (k)")
 def compare_sets_match(spark, sf):
     a, b = two_sets(spark, sf)
     return a.join(b, "k").select(F.col("k").alias("id"), M.specificity_match(F.col("va"), F.col("vb")).alias("kind"))
@@ -235,37 +242,46 @@ def occurrences(spark, sf):
     return M.occurrences(t(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text"), "tion").withColumn("start", F.col("start").cast("long"))
 
 
-FP = "f AS (SELECT vec_id, list_filter(range(1, 9), lambda i: embedding[i] > 0) AS fp FROM embeddings)"
+FP = "f AS (SELECT vec_id, list_filter(range(1, 65), lambda i: embedding[i] > {least}) AS fp FROM embeddings)"
+SPARSE, DENSE = FP.format(least=0.25), FP.format(least=0)
 
 
-def fingerprints(spark, sf, size: int = 8):
-    places = F.filter(F.sequence(F.lit(1), F.lit(size)), lambda i: F.get("embedding", i - 1) > 0)
+def fingerprints(spark, sf, least: float = 0.25):
+    """The places, from 1, at which a vector is above the least value: few of them, so that sets come up again, or about half."""
+    places = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda i: F.get("embedding", i - 1).cast("double") > least)
     return t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), places.alias("values"))
 
 
-@query(f"WITH {FP} SELECT array_to_string(fp, ',') AS fingerprint, min(vec_id) AS first, count(*) AS n FROM f GROUP BY fp")
+@query(f"WITH {SPARSE} SELECT array_to_string(fp, ',') AS fingerprint, min(vec_id) AS first, count(*) AS n FROM f GROUP BY fp")
 def same_fingerprint(spark, sf):
     sets = fingerprints(spark, sf)
     return sets.groupBy(S.same_set(F.col("values")).alias("k")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).select(F.array_join("k", ",").alias("fingerprint"), "first", "n")
 
 
-@query("""WITH d AS (SELECT l_suppkey AS id, l_partkey % 400 AS v FROM lineitem), m AS (SELECT DISTINCT id, v FROM d), c AS (SELECT id, count(*) AS n FROM m GROUP BY id),
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS id, l_partkey AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT id, count(*) AS n FROM m GROUP BY id),
   j AS (SELECT a.id AS id, b.id AS other, count(*) AS k FROM m a JOIN m b ON a.v = b.v AND a.id < b.id GROUP BY ALL)
-  SELECT j.id, j.other, round(k / (x.n + y.n - k), 9) AS jaccard FROM j JOIN c x ON x.id = j.id JOIN c y ON y.id = j.other WHERE k / (x.n + y.n - k) >= 0.3""")
+  SELECT j.id, j.other, round(k / (x.n + y.n - k), 9) AS jaccard FROM j JOIN c x ON x.id = j.id JOIN c y ON y.id = j.other WHERE k / (x.n + y.n - k) >= 0.05""")
 def jaccard_pairs(spark, sf):
-    sets = t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 400).alias("values"))
-    return M.jaccard_pairs(sets, 0.3).withColumn("jaccard", F.round("jaccard", 9))
+    lines = t(spark, sf, "orders").join(t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    sets = lines.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("l_partkey").alias("values"))
+    return M.jaccard_pairs(sets, 0.05).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query(f"WITH {SPARSE} SELECT a.vec_id AS id, b.vec_id AS other FROM f a JOIN f b ON a.fp = b.fp AND a.vec_id < b.vec_id")
+def same_molecules(spark, sf):
+    sets = fingerprints(spark, sf)
+    return M.same_sets(sets, sets).filter("id < other")
 
 
-@query(f"WITH {FP.replace('range(1, 9)', 'range(1, 65)')} SELECT v AS hash, count(*) AS n FROM (SELECT unnest(fp) AS v FROM f) GROUP BY v ORDER BY n DESC, v LIMIT 20")
+@query(f"WITH {DENSE} SELECT v AS hash, count(*) AS n FROM (SELECT unnest(fp) AS v FROM f) GROUP BY v ORDER BY n DESC, v LIMIT 20")
 def hash_frequency_topk(spark, sf):
-    members = fingerprints(spark, sf, 64).select(F.explode("values").alias("v")).select(F.col("v").cast("long").alias("hash"))
+    members = fingerprints(spark, sf, 0).select(F.explode("values").alias("v")).select(F.col("v").cast("long").alias("hash"))
     return members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "hash").limit(20)
 
 
-@query(f"WITH {FP} SELECT vec_id AS id, array_to_string(list_transform([1, 3, 5, 8], lambda h: CASE WHEN list_contains(fp, h) THEN 1 ELSE 0 END), '') AS bits FROM f")
+@query(f"WITH {DENSE} SELECT vec_id AS id, array_to_string(list_transform([1, 13, 35, 64], lambda h: CASE WHEN list_contains(fp, h) THEN 1 ELSE 0 END), '') AS bits FROM f")
 def bitvector(spark, sf):
-    return fingerprints(spark, sf).select("id", F.array_join(S.bitvector(F.col("values"), [1, 3, 5, 8]).cast("array<string>"), "").alias("bits"))
+    return fingerprints(spark, sf, 0).select("id", F.array_join(S.bitvector(F.col("values"), [1, 13, 35, 64]).cast("array<string>"), "").alias("bits"))
 
 
 # --- labels and splits -------------------------------------------------------------------------------------------
@@ -343,9 +359,9 @@ def clade_groups(spark, sf):
 @query("SELECT r_name AS clade, p_brand AS label, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey GROUP BY r_name, p_brand")
 def clade_substrate_matrix(spark, sf):
     proteins = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
-    lines = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("c"))
+    lines = t(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
     joined = lines.join(proteins, F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("r_name").alias("clade"), F.col("p_brand").alias("label")).agg(F.sum("c").alias("n"))
+    return joined.groupBy(F.col("r_name").alias("clade"), F.col("p_brand").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH f AS (SELECT l_orderkey, min(l_suppkey) AS s FROM (SELECT l_orderkey, l_suppkey, l_linenumber, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first FROM lineitem) WHERE l_linenumber = first GROUP BY l_orderkey)
@@ -517,9 +533,9 @@ def sql_page(spark, sf):
     return sqlsurface.sql_page(views(spark, sf, "orders"), "SELECT o_orderkey, o_custkey FROM orders", page=2, size=100, sort="o_orderkey")
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, coalesce(n_name, '') AS name FROM nation")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_nationkey = 3 THEN '' ELSE c_name || ' x' END AS name FROM customer")
 def sql_export(spark, sf):
-    return sqlsurface.sql_export(views(spark, sf, "nation"), "SELECT n_nationkey AS id, n_name AS name FROM nation")
+    return sqlsurface.sql_export(views(spark, sf, "customer"), "SELECT c_custkey AS id, CASE WHEN c_nationkey <> 3 THEN c_name || char(10) || 'x' END AS name FROM customer")
 
 
 @query()

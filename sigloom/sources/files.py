@@ -36,6 +36,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("ord", F.trim(parts[0]).alias("id"), seq.alias("seq")).filter("seq <> ''").groupBy("id").agg(F.max_by("seq", "ord").alias("seq"))
 
 
+def genbank_to_fasta(spark: SparkSession, path: str, out: str) -> None:
+    """The coding sequences of GenBank files as FASTA, in order of id."""
+    write_fasta(read_genbank(spark, path), out)
+
+
 def write_fasta(df: DataFrame, path: str) -> None:
     """(id, seq) in order of id."""
     df.orderBy("id").select(F.concat(F.lit(">"), "id", F.lit("\n"), "seq")).write.text(path)
@@ -90,3 +95,69 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """Nine ranks per protein; an unknown strain is null."""
     df = read_tabular(spark, path)
     return df.withColumn("strain", F.nullif(F.col("strain"), F.lit("Unknown")))
+
+
+def cell(table: DataFrame, key: str, column: str) -> str | None:
+    """One cell of a table read by read_tabular: the row whose first column is the key; raises for an unknown key or column."""
+    if column not in table.columns:
+        raise KeyError(f"no column {column}")
+    found = table.filter(F.col(table.columns[0]) == key).select(F.col(column).alias("value")).first()
+    if found is None:
+        raise KeyError(f"no row {key}")
+    return found["value"]
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """(domain_id, sequence, labels) of a table whose specificity joins labels by bars; their order is kept."""
+    return read_tabular(spark, path).select("domain_id", "sequence", F.split("specificity", r"\|").alias("labels"))
+
+
+def read_smiles(spark: SparkSession, path: str) -> DataFrame:
+    """(name, smiles) below a header; blank lines are left out, of a repeated name the last row counts."""
+    rows = numbered_lines(spark, path).filter("line > 0 and trim(text) <> ''").select("line", F.split("text", "\t").alias("p"))
+    return rows.select(F.trim(F.get("p", 0)).alias("name"), F.trim(F.get("p", 1)).alias("smiles"), "line").groupBy("name").agg(F.max_by("smiles", "line").alias("smiles"))
+
+
+def read_raw_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """(id, ranks): the first of the tab-separated values of each line, and the list of the others."""
+    parts = F.split("value", "\t")
+    return spark.read.text(path).filter("trim(value) <> ''").select(parts[0].alias("id"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("ranks"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) with lines counted from 0 in each file. A file is read whole by one task, so this is for small files."""
+    every = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return every.select("file", "line", "text")
+
+
+def read_components(spark: SparkSession, path: str) -> DataFrame:
+    """(id, pcs) of a table of ids and numbers whose header gives how many there are; raises for a row of another width."""
+    width = len(spark.read.text(path).first()["value"].split("\t")) - 1
+    rows = numbered_lines(spark, path).filter("line > 0 and trim(text) <> ''").select(F.split("text", "\t").alias("p"))
+    checked = F.when(F.size("p") == width + 1, F.transform(F.slice("p", 2, width), lambda x: x.cast("double"))).otherwise(F.raise_error(F.concat(F.lit("another width: "), F.get("p", 0))).cast("array<double>"))
+    return rows.select(F.get("p", 0).alias("id"), checked.alias("pcs"))
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, embedding): all rows of each file in a row, without header and first column."""
+    rows = numbered_lines(spark, path).filter("line > 0 and trim(text) <> ''").select("file", "line", F.transform(F.slice(F.split("text", "\t"), 2, 1 << 20), lambda x: x.cast("double")).alias("v"))
+    return rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "v"))).alias("rows")).select("file", F.flatten(F.transform("rows", lambda r: r["v"])).alias("embedding"))
+
+
+def list_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    """(label, path) of a folder's files with this extension; the label is the name without it."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(folder).select("path")
+    return found.select(F.regexp_extract("path", rf"([^/]*)\.{re.escape(extension)}$", 1).alias("label"), "path")
+
+
+def read_positions(spark: SparkSession, path: str, start: int) -> list[int]:
+    """The numbers of one tab-separated line, counted from start."""
+    return [int(x) - start for x in spark.read.text(path, wholetext=True).first()["value"].split()]
+
+
+def read_properties(spark: SparkSession, path: str, width: int = 15) -> dict[str, list[float]]:
+    """Residue to its properties: a table with a row a residue, so of two dozen rows; raises for a row of another width."""
+    table = read_tabular(spark, path)
+    if len(table.columns) != width + 1:
+        raise ValueError(f"{len(table.columns) - 1} properties, not {width}")
+    return {r[0]: [float(x) for x in r[1:]] for r in table.collect()}

@@ -32,3 +32,15 @@ def sql_export(spark: SparkSession, sql: str, args: dict | None = None) -> DataF
     """All rows up to the cap as strings; null is empty, line breaks are spaces."""
     df = spark.sql(guarded(sql), args=args or {}).limit(EXPORT)
     return df.select(*[F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[\r\n]", " ").alias(c) for c in df.columns])
+
+
+def sql_total(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
+    """One row: how many rows the statement has."""
+    return spark.sql(guarded(sql), args=args or {}).agg(F.count(F.lit(1)).alias("total"))
+
+
+def export_lines(df: DataFrame, sep: str = ",") -> DataFrame:
+    """(value) lines of an export: with commas, cells that hold one or a quote are quoted; with tabs nothing is."""
+    quoted = lambda c: F.when(c.rlike('[,"]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = [quoted(F.col(f"`{c}`")) if sep == "," else F.col(f"`{c}`") for c in df.columns]
+    return df.select(F.concat_ws(sep, *cells).alias("value"))
