@@ -8,6 +8,7 @@ a worker remembers, and the others are encoded as they are. NumPy puts the chunk
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,15 @@ def pieces_in_order(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+@dataclass
+class Encoded:
+    words: pa.Array  # the distinct chunks
+    which: np.ndarray  # of each chunk in turn, over all texts: its place among them
+    per_text: np.ndarray  # chunks of each text
+    ids: np.ndarray  # of all chunks in turn
+    sizes: np.ndarray  # ids of each chunk in turn
+
+
 class ChunkIds:
     """flows(texts): the ids of all texts in a row and where each text's end. With specials, the special tokens' strings are those tokens; without, ordinary text."""
 
@@ -100,17 +110,23 @@ class ChunkIds:
         n = counts.sum(axis=1)
         return every, np.cumsum(n) - n, n
 
-    def flows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in a row, and how many each text has; texts are UTF-8, a null one has none."""
-        some = texts.cast(pa.binary()).fill_null(b"").cast(pa.string())
-        chunks = pc.ascii_split_whitespace(some)
-        coded = chunks.flatten().dictionary_encode()
+    def encoded(self, texts: pa.Array) -> Encoded:
+        """The chunks of all texts and their ids; texts are UTF-8, a null one has none."""
+        chunks = pc.ascii_split_whitespace(texts.cast(pa.binary()).fill_null(b"").cast(pa.string()))
+        coded = chunks.flatten()
+        kept = pc.not_equal(pc.binary_length(coded), 0)
+        per_text = np.diff(np.append(0, np.cumsum(kept.to_numpy(zero_copy_only=False))[np.cumsum(pc.list_value_length(chunks).to_numpy()) - 1] if len(texts) else []))
+        coded = coded.filter(kept).dictionary_encode()
         if not len(coded):
-            return np.empty(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
+            return Encoded(coded.dictionary, np.empty(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64), np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64))
         flat, starts, sizes = self._chunks(coded.dictionary)
         which = coded.indices.to_numpy()
-        ends = np.append(0, np.cumsum(sizes[which]))[np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy()))]
-        return pieces_in_order(flat, starts[which], sizes[which]), np.diff(ends)
+        return Encoded(coded.dictionary, which, per_text.astype(np.int64), pieces_in_order(flat, starts[which], sizes[which]), sizes[which])
+
+    def flows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and how many each text has."""
+        found = self.encoded(texts)
+        return found.ids, np.diff(np.append(0, np.cumsum(found.sizes))[np.append(0, np.cumsum(found.per_text))])
 
     def ids_of(self, texts: pa.Array | list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit bytes."""

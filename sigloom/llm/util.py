@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Rows of an Arrow batch: rows hold whole texts, and a task holds a batch on both sides.
+BATCH_ROWS = 1000
 #: Bytes of text that a task works on at once.
 PART_BYTES = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most in this session, unless it asks for fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables in the shared folder that one run writes, reads again and drops after their last use: cuts lineage, survives lost executors."""
 
