@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.util import small_batches
+
 #: An item is in a document if a passage differs from it by at most so many edits per word of the item.
 EDITS = 0.2
 #: Positions of a sample; samples are repeated until a window that agrees with an item on CLOSE of the positions is found with odds of RECALL.
@@ -258,6 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     or wordless text or item matches nothing; a null item_id is kept as it is not: such items are left out. Repeated rows each have
     their matches. The benchmark is the query set: it is gone through in blocks of bounded size, each sent to all documents.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     queries = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
     blocks = max(1, -(-queries.count() // ITEM_BLOCK))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.util import crc32_of_id, free_name, in_parts
+from sigloom.llm.util import crc32_of_id, free_name, in_parts, small_batches
 
 HIDDEN = 8
 #: Bytes of a window; texts are cut into windows from their first byte to their last, each byte in exactly one.
@@ -190,6 +190,7 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     no letter, and every text if no row has a language, gets ``und`` and score 0. Whole texts are read; a text's
     result doesn't depend on other rows. Repeated rows each get their result.
     """
+    small_batches(docs.sparkSession)
     learn = F.lit(True) if learn is None else learn
     net = train(*sample(docs, doc_id, text, lang, learn, sample_docs))
     kept = docs.drop("lang_pred", "score")
@@ -199,7 +200,7 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     at = kept.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches, at):
+        for batch in in_parts(batches, at, 4_000_000):
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
             letters = batch.column(batch.schema.get_field_index(letter)).to_pylist()
             rows = [k for k, x in enumerate(letters) if x and net.langs]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.util import small_batches
+
 FRAME = 1152
 ORDER = 4  # of the fitted predictor; fixed predictors have orders 0 and 1
 PRECISION, SHIFT = 12, 9
@@ -371,6 +373,7 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A null or empty text has n_bytes 0 and one unit of padding. Whole texts are stored, repeated rows each on their own; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

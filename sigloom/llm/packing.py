@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.tokens import SOME_BYTES, WORD_BPE, chunk_ids
-from sigloom.llm.util import in_parts, written
+from sigloom.llm.util import in_parts, small_batches, written
 
 CAPACITY = 4096
 #: What remains of a document after whole windows is cut to at most so many ids, so that windows can come out equal.
@@ -122,6 +122,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others, each row its own. The vocabulary's special tokens in a text are those tokens. Pieces are dealt into groups by a hash of their
     place, so equal rows part, and the number of groups follows the number of ids; no group or document gathers in one task as a whole. Other columns are ignored; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     pieces = written(pieces_of(docs, doc_id, text, vocabulary, capacity, piece).withColumn("row", F.monotonically_increasing_id()), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (group_windows * capacity)))

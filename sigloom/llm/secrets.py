@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sigloom.llm.util import small_batches
+
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -188,6 +190,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", mask: str | None = None) -
     null; so do empty ones. Whole texts are read, whatever their length; a task holds one batch of rows. Repeated rows
     each get their result; columns of the result's names are replaced, others pass through.
     """
+    small_batches(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     kept = docs.drop(*counts, "base_sha256", "spans")
     schema = T.StructType([*kept.schema, *(T.StructField(c, T.LongType()) for c in counts), *(T.StructField(c, T.StringType()) for c in ("base_sha256", "spans"))])
