@@ -3,12 +3,12 @@
 Groups of equal texts are atomic. They stand in the order of their text's hash; groups that share the
 hash's leading bits form one atom, so the number of atoms is bounded whatever the input. The smallest
 capacity that a greedy pass can keep with the given number of shards is found by binary search over the
-atoms' sizes, and the order is cut there.
+atoms' sizes, and the order is cut within it, as near to even shares as it allows.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -46,6 +46,23 @@ def smallest_capacity(ends: list[int], lo: int, hi: int, shards: int) -> int:
     return least
 
 
+def even_cuts(ends: list[int], lo: int, hi: int, capacity: int, shards: int) -> list[int]:
+    """Cuts that keep a feasible capacity, each the one nearest to an even share of what is left from which the other shards still suffice."""
+    end = lambda c: ends[c - 1] if c else 0
+    starts = [hi]  # where the last 0, 1, 2 ... shards begin at the earliest
+    for _ in range(shards - 1):
+        starts.append(max(lo, bisect_left(ends, end(starts[-1]) - capacity, lo=0, hi=starts[-1]) + 1) if end(starts[-1]) - end(lo) > capacity else lo)
+    cuts, at = [], lo
+    for left in range(shards - 1, -1, -1):
+        most = bisect_right(ends, end(at) + capacity, lo=at, hi=hi)
+        share = end(at) + (end(hi) - end(at)) / (left + 1)
+        near = bisect_left(ends, share, lo=at, hi=hi)
+        options = [min(max(c, at, starts[left]), most) for c in (near, near + 1)]
+        at = min(options, key=lambda c: abs(end(c) - share)) if left else hi
+        cuts.append(at)
+    return cuts
+
+
 def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
     """End (exclusive) of each shard over the ordered sizes; the largest shard is as small as it can be.
 
@@ -67,7 +84,7 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
             if options:
                 left = min(options)[1]
                 return (cut(lo, top, left) if left else []) + [top + 1] + (cut(top + 1, hi, k - 1 - left) if left < k - 1 else [])
-        return greedy_cuts(ends, lo, hi, capacity, k)
+        return even_cuts(ends, lo, hi, capacity, k)
 
     return cut(0, len(sizes), shards)
 
@@ -86,7 +103,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 64 - ATOM_BITS).cast("int").alias("atom"),
-        ).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_PARTS)).cast("int")),
+        ).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SLOT_PARTS)).cast("int")),
         "shard-rows",
     )
     atoms = sorted((r["atom"], r["size"]) for r in narrow.groupBy("atom").agg(F.sum("size").alias("size")).collect())
