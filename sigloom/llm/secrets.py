@@ -41,6 +41,8 @@ QUOTED = re.compile(
 BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>&|]++""")
 #: A block of lines follows that are indented more than the name's line.
 BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?\n")
+#: What joins quoted literals into one value.
+JOINT = re.compile(r"""["'`]{1,3}(?:\s{0,64}(?:\+|\.\.|\.|&|\\)\s{0,64}|[ \t]{1,64})(?=["'`])""")
 ARMOUR = re.compile(r"""["'`]{0,3}(-----BEGIN [A-Z0-9 ]{1,64}-----)""")
 ARMOUR_END = "-----END "
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -95,8 +97,8 @@ def literal_at(text: str, at: int, sign: int, last_armour: int) -> tuple[int, in
     return (m.start(), m.end(), False, m.end()) if m else None
 
 
-def pairs_of(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(target name, value, start, end, quoted) of each assignment, whatever its syntax. Long texts without = and : cost nothing.
+def pairs_of(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
+    """(target name, value, its parts as (start, end), quoted) of each assignment, whatever its syntax. Long texts without = and : cost nothing.
 
     The scan starts at each sign and looks back over its line for the name, so its cost follows the number of signs. Assignments
     within a quoted literal are read as well.
@@ -112,23 +114,27 @@ def pairs_of(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
         found = literal_at(text, m.end(), sign.start(), last_armour) if m else None
         if found:
             start, end, quoted, done = found
-            yield m["item"] or m["name"], text[start:end], start, end, quoted
+            parts = [(start, end)]
+            # Literals that a sign or mere space joins are one value: each has its span, and they are scored together.
+            while quoted and (joint := JOINT.match(text, parts[-1][1])) and (more := QUOTED.match(text, joint.end())):
+                parts.append((more.start(more.lastgroup), more.end(more.lastgroup)))
+            yield m["item"] or m["name"], "".join(text[a:b] for a, b in parts), parts, quoted
 
 
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through other names of the same text."""
     if ":" not in text and "=" not in text:
         return []
-    literals: dict[str, list[tuple[str, int, int]]] = {}
+    literals: dict[str, list[tuple[str, list[tuple[int, int]]]]] = {}
     flows: dict[str, set[str]] = {}
     pairs = list(pairs_of(text))
     targets = {name for name, *_ in pairs}
-    for name, value, start, end, quoted in pairs:
+    for name, value, parts, quoted in pairs:
         ident = IDENT.fullmatch(value)
         if not quoted and ident and ident[1] in targets:
             flows.setdefault(ident[1], set()).add(name)
         else:
-            literals.setdefault(name, []).append((value, start, end))
+            literals.setdefault(name, []).append((value, parts))
             flows.setdefault(name, set())
     best: dict[str, int] = {}
 
@@ -148,8 +154,8 @@ def named_spans(text: str) -> list[tuple[int, int]]:
     for name, found in literals.items():
         score = reaches(name)
         if score >= 3:
-            spans += [(start, end) for value, start, end in found if min(score, 7) + shape_score(value) >= THRESHOLD]
-    return sorted(spans)
+            spans += [span for value, parts in found if min(score, 7) + shape_score(value) >= THRESHOLD for span in parts]
+    return sorted(set(spans))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
