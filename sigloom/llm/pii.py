@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.util import free_name
+
 ROUNDS = 6
 #: An invalid value comes up in about one of eight steps, so so many steps fail with odds under 1e-50.
 WALK = 64
@@ -140,14 +142,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     null with counts 0; empty texts and tables, repeated rows and other columns pass through; columns named as the
     counts are replaced.
     """
+    found_name, kinds_name, named_name = (free_name(docs, x) for x in ("pii_found", "pii_kinds", "pii_named"))
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    pairs = F.transform(F.col("pii_found"), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
-    named = F.transform(F.col("pii_kinds"), lambda p: F.when(p["kind"].isNull(), p["value"]).otherwise(pseudonym(p["kind"], p["value"], key)))
+    pairs = F.transform(F.col(found_name), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
+    named = F.transform(F.col(kinds_name), lambda p: F.when(p["kind"].isNull(), p["value"]).otherwise(pseudonym(p["kind"], p["value"], key)))
     between = F.split(F.col(text), ANY, -1)
-    rebuilt = F.array_join(F.zip_with(between, F.col("pii_named"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    count = lambda kind: F.coalesce(F.size(F.filter("pii_kinds", lambda p: p["kind"] == kind)), F.lit(0)).cast("long")
-    counts = {f"n_{k}": F.when(F.col("pii_kinds").isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in KINDS}
-    out = docs.drop(*counts, "n_pii").withColumn("pii_found", found).withColumn("pii_kinds", pairs).withColumn("pii_named", named)
-    out = out.withColumn(text, F.when(F.exists("pii_kinds", lambda p: p["kind"].isNotNull()), rebuilt).otherwise(F.col(text)))
+    rebuilt = F.array_join(F.zip_with(between, F.col(named_name), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    count = lambda kind: F.coalesce(F.size(F.filter(kinds_name, lambda p: p["kind"] == kind)), F.lit(0)).cast("long")
+    counts = {f"n_{k}": F.when(F.col(kinds_name).isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in KINDS}
+    out = docs.drop(*counts, "n_pii").withColumn(found_name, found).withColumn(kinds_name, pairs).withColumn(named_name, named)
+    out = out.withColumn(text, F.when(F.exists(kinds_name, lambda p: p["kind"].isNotNull()), rebuilt).otherwise(F.col(text)))
     out = out.withColumns(counts).withColumn("n_pii", sum((F.col(c) for c in counts), F.lit(0).cast("long")))
-    return out.drop("pii_found", "pii_kinds", "pii_named")
+    return out.drop(found_name, kinds_name, named_name)

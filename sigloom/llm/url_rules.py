@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.util import ascii_lower
+from sigloom.llm.util import ascii_lower, free_name
 
 #: Up to so many rules the index is a map literal in the plan (no shuffle); beyond, a join on the token.
 MAP_RULES = 256
@@ -88,16 +88,18 @@ def _by_map(parsed: DataFrame, rules: list, filed: dict, default: str) -> DataFr
     fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(index, t), none)))
     fits = F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["regex"]))
     best = F.array_max(fits)
-    return parsed.withColumn("rule_found", best).withColumns({"rule": F.col("rule_found.rule"), "verdict": F.coalesce(F.col("rule_found.verdict"), F.lit(default))}).drop("rule_found")
+    found = free_name(parsed, "rule_found")
+    return parsed.withColumn(found, best).withColumns({"rule": F.col(f"{found}.rule"), "verdict": F.coalesce(F.col(f"{found}.verdict"), F.lit(default))}).drop(found)
 
 
 def _by_join(parsed: DataFrame, rules: list, filed: dict, default: str) -> DataFrame:
     spark = parsed.sparkSession
     rows = [(token, len(rules[k][0]), -k, rules[k][0], rules[k][1], rule_regex(rules[k][0])) for token, ks in filed.items() for k in ks]
     index = spark.createDataFrame(rows, "token string, size int, first int, rule string, verdict string, regex string")
+    found = free_name(parsed, "rule_found")
     urls = parsed.select("host", "path").distinct()
     tokens = urls.select("host", "path", F.explode(F.concat(url_tokens(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("token"))
     fits = tokens.join(index, "token").filter(F.regexp_like(F.concat("host", "path"), F.col("regex")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("size", "first", "rule", "verdict")).alias("rule_found"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("size", "first", "rule", "verdict")).alias(found))
     joined = parsed.join(best, ["host", "path"], "left")
-    return joined.select(*[c for c in parsed.columns], F.col("rule_found.rule").alias("rule"), F.coalesce(F.col("rule_found.verdict"), F.lit(default)).alias("verdict"))
+    return joined.select(*[F.col(f"`{c}`") for c in parsed.columns], F.col(f"{found}.rule").alias("rule"), F.coalesce(F.col(f"{found}.verdict"), F.lit(default)).alias("verdict"))
