@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.util import small_batches
+from sigloom.llm.util import in_parts, small_batches
 
 #: An item is in a document if a passage differs from it by at most so many edits per word of the item.
 EDITS = 0.2
@@ -271,16 +271,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
         def search(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
             items = Items(rows)
-            for batch in batches:
+            for batch in in_parts(batches, 1, 2_000_000):
                 ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
-                found, at = [], 0
-                while at < len(texts):
-                    end, held = at, 0
-                    while end < len(texts) and (end == at or held < 2_000_000):
-                        held += len(texts[end])
-                        end += 1
-                    found += [(ids[at + owner], *rest) for owner, *rest in found_in(items, texts[at:end])]
-                    at = end
+                found = [(ids[owner], *rest) for owner, *rest in found_in(items, texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(5)], names=["doc_id", "item_id", "start", "words", "edits"])
 
         part = source.mapInArrow(search, schema)
