@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.util import small_batches
+from sigloom.llm.util import in_parts, small_batches
 
 FRAME = 1152
 ORDER = 4  # of the fitted predictor; fixed predictors have orders 0 and 1
@@ -376,7 +376,7 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1, 2_000_000):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             media = [m for some in _batches([padded(x) for x in texts]) for m in encode(some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -389,7 +389,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     """The stored streams decoded: doc_id, n_bytes, payload digests, the media's size and digest, and feature."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 2, 2_000_000):
             media = batch.column(2).to_pylist()
             payloads = [p for some in _batches(media) for p in decode(some)]
             rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(p)) for p, m in zip(payloads, media)]
@@ -405,7 +405,7 @@ def pcm_blocks(stored: DataFrame, frames: int = 64) -> DataFrame:
     """The stored streams as blocks of PCM: doc_id, first_sample, samples, pcm; a block holds so many frames and can be found by first_sample."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 2, 2_000_000):
             for key, stream in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 pcm = decode([stream])[0]
                 firsts = range(0, len(pcm), frames * FRAME)
