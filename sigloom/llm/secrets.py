@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sigloom.llm.util import small_batches
+from sigloom.llm.util import in_parts, small_batches
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -193,7 +193,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", mask: str | None = None) -
     """docs with n_assign, n_access, n_hex, n_named (longs), base_sha256 and spans; with a mask, the text's spans are replaced by it.
 
     Spans are kind:start:end in code points, by start, then kind; end is exclusive. A null text has no spans and stays
-    null; so do empty ones. Whole texts are read, whatever their length; a task holds one batch of rows. Repeated rows
+    null; so do empty ones. Whole texts are read, whatever their length; a task holds about a megabyte of them at once. Repeated rows
     each get their result; columns of the result's names are replaced, others pass through.
     """
     small_batches(docs.sparkSession)
@@ -201,9 +201,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", mask: str | None = None) -
     kept = docs.drop(*counts, "base_sha256", "spans")
     schema = T.StructType([*kept.schema, *(T.StructField(c, T.LongType()) for c in counts), *(T.StructField(c, T.StringType()) for c in ("base_sha256", "spans"))])
 
+    at = kept.columns.index(text)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
+        for batch in in_parts(batches, at):
             rows, texts = [], batch.column(at).to_pylist()
             for k, x in enumerate(texts):
                 base, every = spans_of(x or "")
