@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sigloom.functions.scalars import equivalent, jaccard, same_set
 
 KMER = 12
+#: Below this similarity prefixes leave nearly nothing out.
+LEAST_FILTERED = 0.2
 
 
 def equivalent_pairs(a: DataFrame, b: DataFrame, kmer: int = KMER) -> DataFrame:
@@ -58,12 +60,24 @@ def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     return key(a, "id").join(key(b, "other"), "key").select("id", "other")
 
 
+def counted_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """As jaccard_pairs, by counting what every two sets that share a member share."""
+    sized = sets.select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
+    members = sized.select("id", "n", F.explode("values").alias("member"))
+    other = members.select(F.col("id").alias("other"), F.col("n").alias("other_n"), "member")
+    shared = members.join(other, "member").filter(F.col("id") < F.col("other")).groupBy("id", "other", "n", "other_n").agg(F.count(F.lit(1)).alias("common"))
+    value = F.col("common") / (F.col("n") + F.col("other_n") - F.col("common"))
+    return shared.select("id", "other", value.alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(id, other, jaccard) of pairs with id < other and a Jaccard similarity of least or more.
 
     Members are ordered by how many sets have them; two sets that are similar enough meet in the first n - ceil(least * n) + 1 of each, and their
-    sizes differ by least at most. Only such pairs are compared.
+    sizes differ by least at most. Only such pairs are compared. Below LEAST_FILTERED prefixes are nearly whole sets, and shared members are counted instead.
     """
+    if least < LEAST_FILTERED:
+        return counted_pairs(sets, least)
     sized = sets.select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
     members = sized.select("id", "n", F.explode("values").alias("member"))
     ordered = members.join(members.groupBy("member").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "member")

@@ -142,7 +142,7 @@ def test_set_pairs_by_brute_force(spark):
     draw = random.Random(4)
     sets = [sorted(draw.sample(range(40), draw.randint(1, 12))) for _ in range(80)]
     df = spark.createDataFrame(list(enumerate(sets)), "id long, values array<int>")
-    for least in (0.3, 0.5, 1.0):
+    for least in (0.1, 0.3, 0.5, 1.0):
         want = {(i, k) for i, a in enumerate(sets) for k, b in enumerate(sets) if i < k and len({*a} & {*b}) >= least * len({*a} | {*b})}
         assert {(r["id"], r["other"]) for r in M.jaccard_pairs(df, least).collect()} == want
 
