@@ -89,6 +89,28 @@ def link_occurrences(occurrences: DataFrame, numbers: DataFrame) -> DataFrame:
     return both.select("protein_id", "domain_id", F.when(F.col("places") == F.col("names"), F.col("number")).alias("number"), "start")
 
 
+def located(pairs: DataFrame) -> DataFrame:
+    """(protein_id, domain_id, start): the non-overlapping occurrences, from left to right, of a domain's sequence in a protein's, counted from 0.
+
+    pairs: (protein_id, domain_id, sequence, domain), sequences of letters. A domain that is empty or doesn't occur has none.
+    """
+    some = pairs.filter((F.col("domain") != "") & F.col("sequence").contains(F.col("domain"))).withColumn("row", F.monotonically_increasing_id())
+    sizes = F.transform(F.split("sequence", F.concat(F.lit(r"\Q"), "domain", F.lit(r"\E")), -1), lambda p: F.length(p))
+    parts = some.select("protein_id", "domain_id", "row", F.length("domain").alias("width"), sizes.alias("sizes")).select("protein_id", "domain_id", "row", "width", F.posexplode("sizes").alias("nth", "size"))
+    w = Window.partitionBy("row").orderBy("nth")
+    placed = parts.withColumns({"start": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("nth") * F.col("width"), "more": F.lead("nth").over(w).isNotNull()})
+    return placed.filter("more").select("protein_id", "domain_id", "start")
+
+
+def link_domains(pairs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """link_occurrences of the places at which domains occur. Raises if a pair hasn't as many distinct numbers (protein_id, domain_id, number) as places."""
+    linked = link_occurrences(located(pairs), numbers)
+    odd = linked.filter("number is null").first()
+    if odd is not None:
+        raise ValueError(f"places and numbers differ for domain {odd['domain_id']} in protein {odd['protein_id']}")
+    return linked
+
+
 def mapped_labels(labels: Column, names: dict[str, str], sep: str = "|") -> Column:
     """Labels in lower case with abbreviations replaced, each of whose meanings may be several labels; distinct ones in order."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])

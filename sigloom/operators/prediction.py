@@ -66,6 +66,14 @@ def train_labels(domains: DataFrame, labels: DataFrame, included: DataFrame, mod
     return models.train_forest(featured(domains, properties).join(chosen, "id"), **settings)
 
 
+def train_table(table: DataFrame, properties: dict[str, list[float]], **settings) -> PipelineModel:
+    """A forest over a plain table (id, signature, label); raises for a signature that hasn't 34 letters."""
+    odd = table.filter(F.coalesce(F.length("signature") != 34, F.lit(True))).first()
+    if odd is not None:
+        raise ValueError(f"not a signature: {odd['id']}")
+    return models.train_forest(featured(table, properties, "signature"), **settings)
+
+
 def train_pairs(domains: DataFrame, labels: DataFrame, known: DataFrame, properties: dict[str, list[float]], **settings) -> PipelineModel:
     """A forest over pairs of a domain and a known label (label, smiles, bits): class 1 where the domain has the label, else 0."""
     pairs = paired(featured(domains, properties), known)

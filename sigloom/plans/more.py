@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.stat import Correlation
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import scalars as S
+from sigloom.operators import etl
 from sigloom.operators import labels as L
 from sigloom.operators import metrics as E
 from sigloom.operators import population as P
@@ -351,6 +353,18 @@ def job_numbering(spark, sf):
     return R.numbered_by_protein(rows).select("id", "domain_nr")
 
 
+@query("""WITH p AS (SELECT doc_id, text, substr(text, 11, 4) AS tok FROM documents WHERE text IS NOT NULL AND len(text) >= 14), s AS (SELECT doc_id, len(tok) AS w, string_split(text, tok) AS parts FROM p),
+  i AS (SELECT doc_id, w, parts, unnest(range(1, len(parts))) AS nth FROM s) SELECT doc_id AS protein_id, CAST(nth AS BIGINT) AS number, CAST(list_sum(list_transform(parts[1:nth], lambda x: len(x))) + (nth - 1) * w AS BIGINT) AS "start" FROM i""")
+def domain_links(spark, sf):
+    """Four letters of each document found again all over it: the n-th place gets the n-th number."""
+    docs = t(spark, sf, "documents").filter("text is not null and length(text) >= 14")
+    pairs = docs.select(F.col("doc_id").alias("protein_id"), F.col("doc_id").alias("domain_id"), F.col("text").alias("sequence"), F.substring("text", 11, 4).alias("domain"))
+    places = L.checkpointed(etl.located(pairs))
+    w = Window.partitionBy("protein_id").orderBy(F.desc("start"))
+    numbers = places.select("protein_id", "domain_id", F.row_number().over(w).alias("number"))
+    return etl.link_domains(pairs, numbers).select("protein_id", F.col("number").cast("long").alias("number"), F.col("start").cast("long").alias("start"))
+
+
 # --- population and exports ------------------------------------------------------------------------------------------
 
 def catalogue_tables(spark, sf):
