@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.util import in_parts, small_batches
+from sigloom.llm.util import in_parts, own_caches, small_batches
 
 #: An item is in a document if a passage differs from it by at most so many edits per word of the item.
 EDITS = 0.2
@@ -270,6 +270,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         rows = [(r["item_id"], r["text"]) for r in queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().collect()]
 
         def search(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
+            own_caches("items")
             items = Items(rows)
             for batch in in_parts(batches, 1, 2_000_000):
                 ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]

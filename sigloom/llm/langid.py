@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.util import crc32_of_id, free_name, in_parts, small_batches
+from sigloom.llm.util import crc32_of_id, free_name, in_parts, own_caches, small_batches
 
 HIDDEN = 8
 #: Bytes of a window; texts are cut into windows from their first byte to their last, each byte in exactly one.
@@ -200,6 +200,7 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     at = kept.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_caches("languages")
         for batch in in_parts(batches, at, 4_000_000):
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
             letters = batch.column(batch.schema.get_field_index(letter)).to_pylist()

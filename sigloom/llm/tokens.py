@@ -15,8 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 
+from sigloom.llm.util import cached_by, own_caches
+
 #: Words that a Python worker remembers: those met since the last time that so many new ones came up, and those before.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Bytes of text whose chunks are looked up together.
 SOME_BYTES = 4_000_000
 #: Words encoded by one call.
@@ -135,8 +137,17 @@ class ChunkIds:
         return list(map(body.__getitem__, map(slice, [0, *ends], ends)))
 
 
+def forget() -> None:
+    for ids in _shared.values():
+        ids.new, ids.old = {"": b""}, {}
+
+
+cached_by("tokens", forget)
+
+
 def chunk_ids(name: str = WORD_BPE, specials: bool = False) -> ChunkIds:
     """One per worker process, vocabulary and treatment of special tokens, kept across tasks."""
+    own_caches("tokens")
     if (name, specials) not in _shared:
         _shared[name, specials] = ChunkIds(public_tokenizers.path(name), specials)
     return _shared[name, specials]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_caches: dict[str, Callable[[], None]] = {}
 #: Rows of an Arrow batch: rows hold whole texts, and a task holds a batch on both sides.
 BATCH_ROWS = 1000
 #: Bytes of text that a task works on at once.
@@ -73,6 +74,18 @@ def in_parts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART_BY
             at = end
 
 
+def own_caches(name: str) -> None:
+    """Forget what a Python worker remembers for other operators: called by a task, as workers are used again by later stages."""
+    for other, forget in _caches.items():
+        if other != name:
+            forget()
+
+
+def cached_by(name: str, forget: Callable[[], None]) -> None:
+    """Tell own_caches how an operator's memory is emptied."""
+    _caches[name] = forget
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}
