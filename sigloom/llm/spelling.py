@@ -26,6 +26,8 @@ LEAST_LENGTH, LEAST_COUNT, FORM_TIMES = 7, 2, 10
 PREFIX, PREFIX_MOST = 3, 5
 #: Words up to this many code points have keys of both sides of the edit, longer ones and words of this size keys of one side.
 LONG = 65
+#: Bits of a key: few enough to write less, so many that unlike keys seldom meet.
+KEY_BITS = 40
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,7 +159,7 @@ def key(kind: int, head: np.ndarray | None, tail: np.ndarray | None) -> np.ndarr
     if tail is not None:
         x = x ^ (tail * np.uint64(0xA0761D6478BD642F))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
-    return x ^ (x >> np.uint64(29))
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - KEY_BITS)
 
 
 def keyed(words: DataFrame, pivots: Pivots, kind: str) -> DataFrame:
