@@ -5,41 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.scalars import equivalent, jaccard, same_set
+from sigloom.functions.scalars import jaccard, same_set
+from sigloom.operators.overlap import equivalent_pairs
 
-KMER = 12
 #: Below this similarity prefixes leave nearly nothing out.
 LEAST_FILTERED = 0.2
 
 
-def equivalent_pairs(a: DataFrame, b: DataFrame, kmer: int = KMER) -> DataFrame:
-    """(id, other) of equivalent sequences of a and b (id, seq), by lossless blocking.
-
-    The overlap covers the middle of the shorter sequence (length m, from m - t to t, t = int(0.8 m)), so the k-mer at that middle's start occurs
-    in the longer one. Where the middle is shorter than a k-mer it is one itself; sequences of one or two letters, which have none, are looked up by
-    each of their letters. The other side has k-mers of just the sizes that come up, a dozen at most.
-    """
-    a, b = a.filter("seq <> ''"), b.filter("seq <> ''")
-    m = F.length("seq")
-    t = F.floor(m * 0.8).cast("int")
-    size = F.least(F.lit(kmer), 2 * t - m)
-    middle = F.when(size > 0, F.array(F.substr("seq", m - t + 1, size))).otherwise(F.array_distinct(F.array(F.left("seq", F.lit(1)), F.right("seq", F.lit(1)))))
-    anchor = lambda d, c: d.select(F.col("id").alias(c), F.col("seq").alias(f"{c}_seq"), F.explode(middle).alias("gram"))
-    sizes = lambda d: sorted(r[0] for r in d.select(F.greatest(size, F.lit(1)).alias("k")).distinct().collect())
-
-    def runs(k: int):
-        return F.when(m >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), m - k + 1)), lambda i: F.substr("seq", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    def grams(d: DataFrame, c: str, held: list[int]) -> DataFrame:
-        every = [runs(k) for k in held]
-        return d.select(F.col("id").alias(c), F.col("seq").alias(f"{c}_seq"), F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
-
-    cols = ["id", "other", "id_seq", "other_seq"]
-    one = anchor(a, "id").join(grams(b, "other", sizes(a) or [1]), "gram").select(cols)
-    two = grams(a, "id", sizes(b) or [1]).join(anchor(b, "other"), "gram").select(cols)
-    return one.union(two).distinct().filter(equivalent(F.col("id_seq"), F.col("other_seq"))).select("id", "other")
-
-
 def specificity_match(a, b):
     """Match of two label lists: same list, same set in another order, overlapping, or disjoint."""
     return F.when(a == b, "match").when(same_set(a) == same_set(b), "mismatching_order").when(F.arrays_overlap(a, b), "partial_mismatch").otherwise("full_mismatch")
