@@ -90,3 +90,34 @@ def merge_versions(a: DataFrame, b: DataFrame) -> DataFrame:
     kept = longest_overlap(a, b)
     only = interval_anti(b.select("seq_id", "start", "end"), kept)
     return number(kept.unionByName(only), "seq_id")
+
+
+def clusters(rows: DataFrame) -> DataFrame:
+    """rows (seq_id, start, end, ...) with cluster: runs of intervals of a sequence that touch one another, whatever the order in a run."""
+    before = Window.partitionBy("seq_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1)
+    return rows.withColumn("new_run", new).withColumn("cluster", F.sum("new_run").over(Window.partitionBy("seq_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))).drop("new_run")
+
+
+def ordered_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a's rows (seq_id, start, end) with the coordinates that a walk over b (seq_id, start, end, place) leaves them: seq_id, a_start, a_end, start, end.
+
+    b's rows of the sequence are gone through by place (ties: start, end). One that overlaps the row as it is by then, and is strictly longer, takes
+    its place, so that later ones are compared with that. Whatever a row can come to touches it in an unbroken run, so a run's rows of b
+    are all that meet it.
+    """
+    cols = ["seq_id", "start", "end"]
+    both = clusters(a.select(*cols).distinct().withColumn("place", F.lit(None).cast("long")).unionByName(b.select(*cols, F.col("place").cast("long"))))
+    walk = both.filter("place is not null").groupBy("seq_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("place", "start", "end"))).alias("walk"))
+    mine = both.filter("place is null").join(walk, ["seq_id", "cluster"], "left")
+    own = F.struct(F.col("start").alias("start"), F.col("end").alias("end"))
+    step = lambda now, x: F.when(overlaps(now["start"], now["end"], x["start"], x["end"]) & (x["end"] - x["start"] > now["end"] - now["start"]), F.struct(x["start"].alias("start"), x["end"].alias("end"))).otherwise(now)
+    last = F.when(F.col("walk").isNull(), own).otherwise(F.aggregate("walk", own, step))
+    return mine.select("seq_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), last.alias("last")).select("seq_id", "a_start", "a_end", "last.start", "last.end")
+
+
+def merge_in_order(a: DataFrame, b: DataFrame) -> DataFrame:
+    """merge_versions with the walk of ordered_overlap: a as it comes out, and b's rows that overlap none of those; numbered anew."""
+    kept = ordered_overlap(a, b).select("seq_id", "start", "end")
+    only = interval_anti(b.select("seq_id", "start", "end").distinct(), kept.distinct())
+    return number(kept.unionByName(only), "seq_id")
