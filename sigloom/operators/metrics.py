@@ -33,11 +33,17 @@ def accuracy(predicted: DataFrame, truths: DataFrame) -> DataFrame:
     return walked.groupBy("label").agg(F.sum((F.col("label") == F.col("guess")).cast("long")).alias("correct"), F.count(F.lit(1)).alias("total"))
 
 
+def exact_mean(p: Column) -> Column:
+    """A mean that doesn't depend on the order of adding: probabilities are summed as decimals of 18 places."""
+    exact = p.cast("decimal(20,18)")
+    return F.sum(exact).cast("double") / F.count(exact)
+
+
 def confidence(predicted: DataFrame, truths: DataFrame) -> DataFrame:
     """label, right, n, mean, deviation of the highest p, apart for right and wrong predictions; deviation null below two."""
     known = truths.groupBy("id").agg(F.collect_set("label").alias("labels"))
     marked = predicted.join(known, "id").withColumn("right", F.array_contains("labels", F.col("label")))
-    return marked.groupBy("label", "right").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), F.stddev_samp("p").alias("deviation"))
+    return marked.groupBy("label", "right").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("p")).alias("mean"), F.stddev_samp("p").alias("deviation"))
 
 
 def confusion(predicted: DataFrame, truths: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def confidence_table(predicted: DataFrame, truths: DataFrame) -> DataFrame:
     known = truths.groupBy("id").agg(F.collect_set("label").alias("labels"))
     marked = predicted.join(known, "id").withColumn("right", F.array_contains("labels", F.col("label")))
     of = lambda side: F.when(F.col("right") if side else ~F.col("right"), F.col("p"))
-    names = (("confidence_correct", F.avg(of(True))), ("stdev_correct", F.stddev_samp(of(True))), ("confidence_incorrect", F.avg(of(False))), ("stdev_incorrect", F.stddev_samp(of(False))))
+    names = (("confidence_correct", exact_mean(of(True))), ("stdev_correct", F.stddev_samp(of(True))), ("confidence_incorrect", exact_mean(of(False))), ("stdev_incorrect", F.stddev_samp(of(False))))
     return marked.rollup("label").agg(F.grouping("label").alias("g"), *[x.alias(n) for n, x in names]).select(F.when(F.col("g") == 1, "all").otherwise(F.col("label")).alias("substrate"), *[three(F.col(n)).alias(n) for n, _ in names])
 
 
