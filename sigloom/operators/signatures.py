@@ -26,18 +26,33 @@ def residue_columns(aligned: Column, most: int, gaps: str) -> Column:
     return F.array_compact(F.transform(F.split(head, ""), lambda x, i: F.when((x != "") & ~x.isin(list(gaps)), i)))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def picked(ungapped: Column, positions: list[int], offset: Column | int) -> Column:
+    """The alignment columns of positions, in order, by the list of the reference's ungapped columns; those that it doesn't reach are left out."""
+    places = F.array(*[F.lit(p) for p in sorted(positions)])
+    reached = F.slice(ungapped, 1, max(positions) + 1)
+    return F.array_compact(once(reached, lambda u: F.transform(places, lambda p: F.get(u, p - offset))))
+
+
 def columns_at(aligned: Column, positions: list[int], offset: Column | int = 0, gaps: str = "-") -> Column:
     """The alignment columns of a reference's positions, in order; those that the alignment doesn't reach are left out. offset is what positions are counted from."""
-    ungapped = residue_columns(aligned, max(positions) + 1, gaps)
-    return F.array_compact(F.array(*[F.get(ungapped, F.lit(p) - offset) for p in sorted(positions)]))
+    return picked(residue_columns(aligned, max(positions) + 1, gaps), positions, offset)
+
+
+def fitting(query: Column, profile: Column, least: int, columns: Column) -> Column:
+    """The columns; raises for a profile that is longer than the query, or shorter than there are positions."""
+    wrong = (F.length(profile) < least) | (F.length(profile) > F.length(query))
+    return F.when(wrong, F.raise_error(F.concat(F.lit("profile does not fit: "), F.length(profile).cast("string"))).cast("array<int>")).otherwise(columns)
 
 
 def profile_columns(query: Column, profile: Column, positions: list[int], offset: Column) -> Column:
-    """columns_at for a profile with gaps of two kinds; null unless all positions are reached. Raises for a profile that is longer than the query, or shorter than there are positions."""
-    found = columns_at(profile, positions, offset, "-.")
-    wrong = (F.length(profile) < len(positions)) | (F.length(profile) > F.length(query))
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("profile does not fit: "), F.length(profile).cast("string"))).cast("array<int>")).otherwise(found)
-    return F.when(F.size(checked) == len(positions), checked)
+    """columns_at for a profile with gaps of two kinds; null unless all positions are reached. Raises where it doesn't fit the query."""
+    found = fitting(query, profile, len(positions), residue_columns(profile, max(positions) + 1, "-."))
+    return once(picked(found, positions, offset), lambda c: F.when(F.size(c) == len(positions), c))
 
 
 def letters_at(query: Column, columns: Column) -> Column:
@@ -58,19 +73,17 @@ def profile_signatures(hits: DataFrame) -> DataFrame:
     A signature with another character than the 21 of the alphabet is null, with its positions.
     """
     query, profile, offset = F.col("n_query"), F.col("n_profile"), F.col("n_hit_start")
-    out = hits
-    for name, positions in (("signature", SIGNATURE), ("extended", EXTENDED)):
-        out = out.withColumn(f"_{name}", profile_columns(query, profile, positions, offset))
+    ungapped = fitting(query, profile, len(EXTENDED), residue_columns(profile, max(EXTENDED) + 1, "-."))
+    whole = lambda c, positions: F.when(F.size(c) == len(positions), c)
+    columns = once(ungapped, lambda u: F.struct(picked(u, SIGNATURE, offset).alias("s"), picked(u, EXTENDED, offset).alias("e")))
     lysine = letters_at(F.col("c_query"), profile_columns(F.col("c_query"), F.col("c_profile"), LYSINE, F.col("c_hit_start")))
-    last = F.when(lysine.rlike("^[ACDEFGHIKLMNPQRSTVWY]$"), lysine).otherwise(F.lit("K"))
-    held = lambda c: valid_alphabet(letters_at(query, F.col(c)))
-    out = out.withColumns({
-        "signature": F.when(held("_signature"), F.concat(letters_at(query, F.col("_signature")), last)),
-        "signature_positions": F.when(held("_signature"), places_at(query, F.col("_signature"), F.col("n_query_start"))),
-        "extended_signature": F.when(held("_extended"), letters_at(query, F.col("_extended"))),
-        "extended_positions": F.when(held("_extended"), places_at(query, F.col("_extended"), F.col("n_query_start"))),
-    })
-    return out.drop("_signature", "_extended")
+    last = once(lysine, lambda x: F.when(x.rlike("^[ACDEFGHIKLMNPQRSTVWY]$"), x).otherwise(F.lit("K")))
+    read = lambda c, positions: once(whole(c, positions), lambda at: F.struct(letters_at(query, at).alias("letters"), places_at(query, at, F.col("n_query_start")).alias("places")))
+    held = lambda x: F.when(valid_alphabet(x["letters"]), x)
+    found = once(columns, lambda c: F.struct(once(read(c["s"], SIGNATURE), held).alias("s"), once(read(c["e"], EXTENDED), held).alias("e")))
+    taken = hits.withColumns({"found_at": found, "last_at": last})
+    signature = F.when(F.col("found_at.s.letters").isNotNull(), F.concat("found_at.s.letters", "last_at"))
+    return taken.select(*[F.col(f"`{c}`") for c in hits.columns], signature.alias("signature"), F.col("found_at.s.places").alias("signature_positions"), F.col("found_at.e.letters").alias("extended_signature"), F.col("found_at.e.places").alias("extended_positions"))
 
 
 def reference_signatures(pairs: DataFrame) -> DataFrame:

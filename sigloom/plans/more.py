@@ -23,7 +23,8 @@ from sigloom.sources import sqlsurface
 
 def alignments(spark, sf):
     docs = t(spark, sf, "documents").filter("text is not null").select("doc_id", S.letters(F.col("text")).alias("a")).filter("length(a) >= 34")
-    return L.checkpointed(docs.select("doc_id", F.translate("a", "W", "-").alias("query"), F.translate("a", "KSW", "-.-").alias("profile"), F.reverse(F.translate("a", "W", "-")).alias("c_query"), F.reverse(F.translate("a", "KSW", "-.-")).alias("c_profile")))
+    query, profile = S.replaced(F.col("a"), "W", "-"), S.replaced(F.col("a"), "KSW", "-.-")
+    return L.checkpointed(docs.select("doc_id", query.alias("query"), profile.alias("profile"), F.reverse(query).alias("c_query"), F.reverse(profile).alias("c_profile")))
 
 
 ALIGNED = f"d AS (SELECT doc_id, {CLEAN} AS a FROM documents WHERE text IS NOT NULL), al AS (SELECT doc_id, translate(a, 'W', '-') AS q, translate(a, 'KSW', '-.-') AS p FROM d WHERE len(a) >= 34)"
