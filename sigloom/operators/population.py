@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,27 +117,67 @@ def populated(tables: dict[str, DataFrame], proteins: DataFrame, substrates: Dat
     return out
 
 
-def save(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write the tables as a new snapshot of the folder, then point to it; returns its name. Readers of the old one are not disturbed."""
+class Conflict(Exception):
+    """Another writer has put in a snapshot since this one's was read."""
+
+
+def _pointers(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointers")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def last_snapshot(spark: SparkSession, folder: str) -> int:
+    """The number of the last snapshot; 0 where there is none."""
+    path, store = _pointers(spark, folder)
+    return max((int(x.getPath().getName()) for x in store.listStatus(path)), default=0) if store.exists(path) else 0
+
+
+def save(tables: dict[str, DataFrame], folder: str, after: int | None = None) -> int:
+    """Write the tables as a new snapshot of the folder, then point to it; returns its number. Readers of the old one are not disturbed.
+
+    after: the snapshot that the tables were made from (none: the last one). The pointer to a snapshot is a file under its number that is made only
+    if there is none yet, so of two writers that read the same snapshot the second gets a Conflict, and nothing of the first is lost.
+    """
     spark, name = next(iter(tables.values())).sparkSession, f"snapshot-{uuid.uuid4().hex}"
+    number = (last_snapshot(spark, folder) if after is None else after) + 1
     for table, rows in tables.items():
         rows.write.parquet(f"{folder}/{name}/{table}")
-    spark.createDataFrame([(name,)], "name string").select("name", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{folder}/pointer")
-    return name
-
-
-def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the snapshot that was pointed to last."""
-    name = spark.read.parquet(f"{folder}/pointer").agg(F.max_by("name", "at")).first()[0]
+    path, store = _pointers(spark, folder)
+    store.mkdirs(path)
+    try:
+        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}"), False)
+    except Py4JJavaError as e:
+        if store.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}")):
+            raise Conflict(f"snapshot {number} is there already") from e
+        raise
+    out.write(bytearray(name.encode()))
+    out.close()
+    return number
+
+
+def load(spark: SparkSession, folder: str, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a snapshot (none: the last one)."""
+    number = last_snapshot(spark, folder) if number is None else number
+    name = spark.read.text(f"{folder}/pointers/{number:012d}", wholetext=True).first()[0]
     return {table: spark.read.schema(schema).parquet(f"{folder}/{name}/{table}") for table, schema in SCHEMA.items()}
 
 
-def populate(spark: SparkSession, folder: str, batches: list[tuple[DataFrame, DataFrame, DataFrame]], on_equivalent: str = "error") -> str:
-    """Add one batch (proteins, substrates, domains) after another, each to a snapshot of its own; one that raises leaves those before it."""
-    name = ""
+def populate(spark: SparkSession, folder: str, batches: list[tuple[DataFrame, DataFrame, DataFrame]], on_equivalent: str = "error", tries: int = 5) -> int:
+    """Add one batch (proteins, substrates, domains) after another, each to a snapshot of its own; one that raises leaves those before it.
+
+    A batch that meets another writer's snapshot is checked and added anew, against that one.
+    """
+    number = last_snapshot(spark, folder)
     for batch in batches:
-        name = save(populated(load(spark, folder), *batch, on_equivalent=on_equivalent), folder)
-    return name
+        for left in reversed(range(tries)):
+            number = last_snapshot(spark, folder)
+            try:
+                number = save(populated(load(spark, folder, number), *batch, on_equivalent=on_equivalent), folder, number)
+                break
+            except Conflict:
+                if not left:
+                    raise
+    return number
 
 
 # --- exports -------------------------------------------------------------------------------------------------------

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigloom.operators.labels import checkpointed
+
 
 def read_tabular(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """A delimited file with a header, all strings; raises for ragged rows when read, and here for a repeated first column."""
@@ -74,21 +76,28 @@ CDS = re.compile(r"^     CDS  .*?(?=^     \S|^\S|\Z)", re.M | re.S)
 
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq) of coding sequences with a translation; the last of a repeated id wins."""
+    """(id, seq) of coding sequences with a translation; the last of a repeated id wins.
+
+    Files are split at the ends of their records, so that a large one is read by many tasks; coding sequences are numbered through each file.
+    """
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for name, content in zip(part["path"], part["content"]):
-                for n, cds in enumerate(CDS.findall(bytes(content).decode()), 1):
+            for file, at, record in zip(part["file"], part["at"], part["record"]):
+                for n, cds in enumerate(CDS.findall(record), 1):
                     value = lambda key: (m := re.search(rf'/{key}="([^"]*)"', cds)) and re.sub(r"\s", "", m[1])  # noqa: B023, E731
-                    rows.append((name, n, value("protein_id"), value("gene_id"), value("locus_tag"), value("translation")))
-            yield pd.DataFrame(rows, columns=["path", "n", "protein_id", "gene_id", "locus_tag", "seq"])
+                    rows.append((file, at, n, value("protein_id"), value("gene_id"), value("locus_tag"), value("translation")))
+            yield pd.DataFrame(rows, columns=["file", "at", "k", "protein_id", "gene_id", "locus_tag", "seq"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, n int, protein_id string, gene_id string, locus_tag string, seq string")
-    named = found.filter("seq is not null").withColumn("id", coding_id(F.col("protein_id"), F.col("gene_id"), F.col("locus_tag"), F.col("n").cast("string")))
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("path"), F.desc("n")))
-    return named.withColumn("rk", last).filter("rk = 1").select("id", "seq")
+    records = spark.read.option("lineSep", "\n//").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r", "").alias("record"))
+    found = checkpointed(records.mapInPandas(parse, "file string, at long, k int, protein_id string, gene_id string, locus_tag string, seq string"))
+    # A record's first number is one more than all that the file has before it.
+    sizes = found.groupBy("file", "at").agg(F.max("k").alias("c"))
+    first = sizes.select("file", "at", F.coalesce(F.sum("c").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    named = found.filter("seq is not null").join(first, ["file", "at"]).withColumn("n", F.col("before") + F.col("k"))
+    named = named.withColumn("id", coding_id(F.col("protein_id"), F.col("gene_id"), F.col("locus_tag"), F.col("n").cast("string")))
+    return named.groupBy("id").agg(F.max_by("seq", F.struct("file", "n")).alias("seq")).select("id", "seq")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -125,9 +134,17 @@ def read_raw_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) with lines counted from 0 in each file. A file is read whole by one task, so this is for small files."""
-    every = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    return every.select("file", "line", "text")
+    """(file, line, text) with lines counted from 0 in each file.
+
+    Large files are read in blocks by many tasks: the lines of each block are counted, the counts before a block are its first number. Blocks of
+    a file are in the order of their offsets.
+    """
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("text"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("file", "block", "first", before.alias("before"))  # a row for each block, not for each line
+    return lines.join(placed, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before")).alias("line"), "text")
 
 
 def read_components(spark: SparkSession, path: str) -> DataFrame:
@@ -140,7 +157,7 @@ def read_components(spark: SparkSession, path: str) -> DataFrame:
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(file, embedding): all rows of each file in a row, without header and first column."""
-    rows = numbered_lines(spark, path).filter("line > 0 and trim(text) <> ''").select("file", "line", F.transform(F.slice(F.split("text", "\t"), 2, 1 << 20), lambda x: x.cast("double")).alias("v"))
+    rows = numbered_lines(spark, path).filter("line > 0 and trim(text) <> ''").select("file", "line", F.transform(F.slice(F.split("text", "\t"), 2, F.greatest(F.size(F.split("text", "\t")) - 1, F.lit(0))), lambda x: x.cast("double")).alias("v"))
     return rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "v"))).alias("rows")).select("file", F.flatten(F.transform("rows", lambda r: r["v"])).alias("embedding"))
 
 

@@ -3,24 +3,74 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Page sizes and the export's cap.
 PAGE, MOST, EXPORT = 25, 1000, 100_000
+#: Fixed value: the seconds that a statement gets.
+TIME_OUT = 30
 
 
-def guarded(sql: str) -> str:
+def _nodes(plan):
+    """A parsed plan's own node and all below it, those of named subqueries included."""
+    yield plan
+    if plan.getClass().getSimpleName() == "UnresolvedWith":
+        named = plan.cteRelations()
+        for k in range(named.size()):
+            yield from _nodes(named.apply(k)._2())
+    below = plan.children()
+    for k in range(below.size()):
+        yield from _nodes(below.apply(k))
+
+
+def guarded(spark: SparkSession, sql: str) -> str:
+    """The statement, if it is one SELECT or WITH whose parsed plan only reads; raises otherwise. A semicolon ends no statement here, but may stand in a literal."""
     text = sql.strip()
-    if not re.match(r"(?is)^(select|with)\b", text) or ";" in text:
+    if not re.match(r"(?is)^(select|with)\b", text) or text.endswith(";"):
         raise ValueError("only one SELECT or WITH statement is run")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise ValueError(f"not a statement: {e}") from e
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{x}") for x in ("Command", "ParsedStatement", "InsertIntoDir")]
+    if any(kind.isInstance(node) for node in _nodes(plan) for kind in kinds):
+        raise ValueError("only statements that read are run")
     return text
 
 
+def rows_within(df: DataFrame, seconds: float = TIME_OUT) -> list[Row]:
+    """The rows of a page or an export; raises TimeoutError, and stops the jobs behind them, after so many seconds. The session lives on; a task ends at its next row that Spark checks for this."""
+    context, group, late, done = df.sparkSession.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+    before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+
+    def stop() -> None:
+        late.set()
+        while not done.wait(0.2):  # jobs that start meanwhile too
+            context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "a statement with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"stopped after {seconds:g} s") from e
+        raise
+    finally:
+        done.set()
+        timer.cancel()
+        for k, v in before.items():
+            context.setLocalProperty(k, v)
+
+
 def sql_page(spark: SparkSession, sql: str, page: int = 0, size: int | None = None, sort: str | None = None, direction: str = "asc", args: dict | None = None) -> DataFrame:
     """One page of the result; sort names a result column and is ignored if there is none such, any direction but asc is descending."""
-    df = spark.sql(guarded(sql), args=args or {})
+    df = spark.sql(guarded(spark, sql), args=args or {})
     size = min(max(size or PAGE, 1), MOST)
     if sort in df.columns:
         order = F.col(f"`{sort}`").asc() if direction.lower() == "asc" else F.col(f"`{sort}`").desc()
@@ -30,13 +80,13 @@ def sql_page(spark: SparkSession, sql: str, page: int = 0, size: int | None = No
 
 def sql_export(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     """All rows up to the cap as strings; null is empty, line breaks are spaces."""
-    df = spark.sql(guarded(sql), args=args or {}).limit(EXPORT)
+    df = spark.sql(guarded(spark, sql), args=args or {}).limit(EXPORT)
     return df.select(*[F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[\r\n]", " ").alias(c) for c in df.columns])
 
 
 def sql_total(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     """One row: how many rows the statement has."""
-    return spark.sql(guarded(sql), args=args or {}).agg(F.count(F.lit(1)).alias("total"))
+    return spark.sql(guarded(spark, sql), args=args or {}).agg(F.count(F.lit(1)).alias("total"))
 
 
 def export_lines(df: DataFrame, sep: str = ",") -> DataFrame:
