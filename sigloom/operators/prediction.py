@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import scalars as S
-from sigloom.operators.labels import select_labels
+from sigloom.operators.labels import checkpointed, first_valid_counts, label_counts, select_labels
+from sigloom.operators import hits as H
 from sigloom.operators import metrics as E
+from sigloom.operators import molecules as M
+from sigloom.operators import signatures as G
 from sigloom.plans import models
 
 
@@ -60,6 +63,72 @@ def predict_pairs(domains: DataFrame, model: PipelineModel, labels: DataFrame, p
     return scored.select("pair.id", "pair.label", "pair.smiles", "p")
 
 
+def domains_from_hits(hits: DataFrame, sequences: DataFrame, alignments: DataFrame) -> DataFrame:
+    """(id, seq_id, domain_nr, start, end, sequence, signature, extended_signature): what hits and their alignments say of sequences' domains.
+
+    hits: (seq_id, hit_id, start, end, bitscore), hit_id N or C; sequences: (seq_id, sequence); alignments: (seq_id, hit_id, start, end, query, profile,
+    hit_start) of the hits. A domain is read by the alignment of the N hit that it starts with (of several the longest), its lysine by that of the
+    C hit that it ends with. Domains without a whole signature are left out; numbers count all of a sequence's domains.
+    """
+    found = H.detect_domains(hits)
+    of = lambda kind: alignments.filter(F.col("hit_id") == kind)
+    best = lambda rows, by, longest: rows.groupBy("seq_id", by).agg(F.max_by(F.struct("query", "profile", "hit_start", "start"), longest).alias("x"))
+    first = best(of("N"), "start", F.col("end")).select("seq_id", "start", F.col("x.query").alias("n_query"), F.col("x.profile").alias("n_profile"), F.col("x.hit_start").alias("n_hit_start"), F.col("start").alias("n_query_start"))
+    last = best(of("C"), "end", -F.col("start")).select("seq_id", "end", F.col("x.query").alias("c_query"), F.col("x.profile").alias("c_profile"), F.col("x.hit_start").alias("c_hit_start"))
+    read = G.profile_signatures(found.join(first, ["seq_id", "start"]).join(last, ["seq_id", "end"], "left"))
+    whole = G.complete(G.slices(read.withColumnRenamed("seq_id", "protein_id"), sequences.select(F.col("seq_id").alias("protein_id"), F.col("sequence").alias("protein_sequence"))))
+    name = S.header(F.col("protein_id"), F.col("domain_nr"), F.col("start"), F.col("end"))
+    return whole.select(name.alias("id"), F.col("protein_id").alias("seq_id"), "domain_nr", "start", "end", "sequence", "signature", "extended_signature")
+
+
+def predict_from_hits(hits: DataFrame, sequences: DataFrame, alignments: DataFrame, model: PipelineModel, structures: DataFrame, properties: dict[str, list[float]], top: int | None = None, path: str | None = None) -> DataFrame:
+    """(id, label, smiles, p) of all domains of the sequences, from hits to the model's labels; with path, each domain's best labels are written there as a table. Raises if there is no domain."""
+    domains = checkpointed(domains_from_hits(hits, sequences, alignments))
+    out = predict_labels(domains.select("id", "extended_signature"), model, structures, properties)
+    if path:
+        write_top(out, top or 3, path)
+    return out
+
+
+def predict_pairs_from_hits(hits: DataFrame, sequences: DataFrame, alignments: DataFrame, model: PipelineModel, labels: DataFrame, properties: dict[str, list[float]], top: int | None = None, path: str | None = None) -> DataFrame:
+    """As predict_from_hits, by a forest over pairs: labels are those of ``candidates`` (built-in, bacterial, custom ones), whose bits are the ones that the forest learned from. Raises if there is none."""
+    if labels.isEmpty():
+        raise ValueError("no candidate labels")
+    domains = checkpointed(domains_from_hits(hits, sequences, alignments))
+    out = predict_pairs(domains.select("id", "extended_signature"), model, labels, properties)
+    if path:
+        write_top(out, top or 3, path)
+    return out
+
+
+def custom_bits(custom: DataFrame, selected: list[int]) -> DataFrame:
+    """(label, smiles, bits) of a user's substrates (label, smiles): whether each has the selected hashes of a fingerprint."""
+    read = M.read_structures(custom.select(F.col("label").alias("id"), "smiles"))
+    return M.fingerprints(read).join(custom, F.col("id") == F.col("label")).select("label", "smiles", S.bitvector(F.col("fingerprint"), selected).alias("bits"))
+
+
+def train_scopes(domains: DataFrame, labels: DataFrame, mode: str, properties: dict[str, list[float]], folder: str, cutoff: int = 6, scopes: tuple[str, ...] = ("all", "fungal", "bacterial"), **settings) -> dict[str, int]:
+    """Train a forest for each scope of domains (id, extended_signature, domain, kingdom) and save it under the folder; labels: (domain_id, label, ordinal).
+
+    A scope's labels are those that enough of its own domains have. Returns how many domains each scope learned from; one without labels trains none and has 0.
+    """
+    out = {}
+    for scope in scopes:  # a model a scope
+        own = G.scoped(domains, scope)
+        mine = labels.join(own.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")
+        included = first_valid_counts(mine, cutoff) if mode == "first_valid" else label_counts(mine, first_only=mode == "first_only", cutoff=cutoff)
+        chosen = checkpointed(select_labels(mine, included, mode).select(F.col("domain_id").alias("id"), F.col("labels").alias("label")))
+        out[scope] = chosen.count()
+        if out[scope]:
+            models.train_forest(featured(own, properties).join(chosen, "id"), **settings).write().overwrite().save(f"{folder}/{scope}")
+    return out
+
+
+def load_model(folder: str, scope: str = "all") -> PipelineModel:
+    """A forest that train_scopes saved."""
+    return PipelineModel.load(f"{folder}/{scope}")
+
+
 def train_labels(domains: DataFrame, labels: DataFrame, included: DataFrame, mode: str, properties: dict[str, list[float]], **settings) -> PipelineModel:
     """A forest over signature features for the domains' selected label (first_only or first_valid)."""
     chosen = select_labels(labels, included, mode).select(F.col("domain_id").alias("id"), F.col("labels").alias("label"))
@@ -150,4 +219,7 @@ def custom_labels(lines: DataFrame) -> DataFrame:
     bad = rows.filter((F.size("p") != 2) | (F.coalesce(F.trim(F.get("p", 0)), F.lit("")) == "") | ~F.coalesce(F.get("p", 1), F.lit("")).rlike(r"^[A-Za-z0-9@+\-\[\]()=#$:/\\.%*]+$")).orderBy("line").first()
     if bad is not None:
         raise ValueError(f"line {bad['line']} is no substrate")
+    faults = M.read_structures(rows.select(F.col("line").alias("id"), F.get("p", 1).alias("smiles"))).filter("fault is not null").orderBy("id").first()
+    if faults is not None:
+        raise ValueError(f"line {faults['id']} is no substrate: {faults['fault']}")
     return rows.select(F.trim(F.get("p", 0)).alias("label"), F.trim(F.get("p", 1)).alias("smiles"))

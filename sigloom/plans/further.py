@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.operators import hits as H
+from sigloom.operators import molecules as M
 from sigloom.operators import stratify, wide
 from sigloom.plans.catalogue import LAPS, VERSIONS, query, t, versions
 from sigloom.plans.more import BRANDS, brands
@@ -38,7 +39,7 @@ def merge_in_order(spark, sf):
 # --- iterative stratification of orders by their parts' brands ----------------------------------------------------------------
 
 #: The brands that are served last make up for others, so a few domains can be over; one domain is never too many.
-NEAR = F.expr("greatest(1.5, n * 0.01)")
+NEAR = "greatest(1.5, n * 0.01)"
 SIZES = f"WITH {BRANDS}, n AS (SELECT label, count(DISTINCT domain_id) AS n FROM br GROUP BY label)"
 
 
@@ -48,7 +49,7 @@ def iterative_split(spark, sf):
     every = brands(spark, sf).select("domain_id", "label").distinct()
     both = every.join(stratify.iterative_split(every, 0.25), "domain_id")
     sizes = both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("side") == "test", 1)).alias("test"))
-    return sizes.select("label", "n", (F.abs(F.col("test") - F.col("n") * 0.25) <= NEAR).alias("near"))
+    return sizes.select("label", "n", (F.abs(F.col("test") - F.col("n") * 0.25) <= F.expr(NEAR)).alias("near"))
 
 
 @query(f"{SIZES}, k AS (SELECT unnest(range(3)) AS fold) SELECT label, fold::INTEGER AS fold, true AS near FROM n, k")
@@ -56,7 +57,7 @@ def iterative_folds(spark, sf):
     """Each brand's orders in each fold, and whether they are a third of the brand's to within a hundredth of all."""
     every = brands(spark, sf).select("domain_id", "label").distinct()
     both = every.join(stratify.iterative_folds(every, 3), "domain_id").groupBy("label", "fold").agg(F.count(F.lit(1)).alias("c"))
-    return both.withColumn("n", F.sum("c").over(Window.partitionBy("label"))).select("label", "fold", (F.abs(F.col("c") - F.col("n") / 3) <= NEAR).alias("near"))
+    return both.withColumn("n", F.sum("c").over(Window.partitionBy("label"))).select("label", "fold", (F.abs(F.col("c") - F.col("n") / 3) <= F.expr(NEAR)).alias("near"))
 
 
 # --- components of the embeddings' transpose: a row for each coordinate, a column for each vector -----------------------------
@@ -66,3 +67,19 @@ def iterative_folds(spark, sf):
 def pca_wide(spark, sf):
     vectors = t(spark, sf, "embeddings").select(F.col("vec_id").alias("column"), F.posexplode("embedding").alias("id", "value"))
     return wide.wide_components(wide.entry_blocks(vectors), 5)
+
+
+# --- structures: a part's letters as a chain of atoms, written from either end ------------------------------------------------
+
+CHAIN = "translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'ABDEGHIJKLMQRTUVWXYZ', 'CCCCCCCNNNNNOOOOSSSS')"
+
+
+@query(f"SELECT p_partkey AS id, len({CHAIN}) AS atoms, true AS same FROM part WHERE len({CHAIN}) > 0")
+def structures(spark, sf):
+    """Each part's atoms, and whether its chain has the same fingerprint from both ends."""
+    chain = F.translate(F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")), "ABDEGHIJKLMQRTUVWXYZ", "CCCCCCCNNNNNOOOOSSSS")
+    parts = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), chain.alias("smiles")).filter("smiles <> ''")
+    one, two = (M.read_structures(d) for d in (parts, parts.withColumn("smiles", F.reverse("smiles"))))
+    back = M.fingerprints(two).select("id", F.col("fingerprint").alias("back"))
+    sizes = one.select("id", F.size("atoms").cast("long").alias("atoms"))
+    return M.fingerprints(one).join(back, "id").join(sizes, "id").select("id", "atoms", (F.col("fingerprint") == F.col("back")).alias("same"))
