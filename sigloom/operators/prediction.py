@@ -12,6 +12,7 @@ from sigloom.operators import hits as H
 from sigloom.operators import metrics as E
 from sigloom.operators import molecules as M
 from sigloom.operators import signatures as G
+from sigloom.operators.overlap import equivalent_pairs
 from sigloom.plans import models
 
 
@@ -168,12 +169,17 @@ def crossvalidate(rows: DataFrame, truths: DataFrame, k: int, **settings) -> Dat
     return out
 
 
-def annotate(predictions: DataFrame, domains: DataFrame) -> DataFrame:
+def annotate(predictions: DataFrame, domains: DataFrame, equivalent: bool = False) -> DataFrame:
     """(id, protein, sequence_matches, name_matches): known domains (domain_id, sequence, synonyms) with the same sequence, or with the protein among their names.
 
-    predictions: (id, protein, sequence). Both lists are in order and empty where nothing matches; sequences match here where they are equal.
+    predictions: (id, protein, sequence). Both lists are in order and empty where nothing matches. equivalent: sequences match too where one holds the
+    other, or they overlap over four fifths of the shorter.
     """
-    by_sequence = predictions.join(domains.select("sequence", "domain_id"), "sequence").groupBy("id").agg(F.array_sort(F.collect_set("domain_id")).alias("sequence_matches"))
+    if equivalent:
+        pairs = equivalent_pairs(predictions.select("id", F.col("sequence").alias("seq")), domains.select(F.col("domain_id").alias("id"), F.col("sequence").alias("seq"))).withColumnRenamed("other", "domain_id")
+    else:
+        pairs = predictions.join(domains.select("sequence", "domain_id"), "sequence").select("id", "domain_id")
+    by_sequence = pairs.groupBy("id").agg(F.array_sort(F.collect_set("domain_id")).alias("sequence_matches"))
     names = domains.select(F.explode("synonyms").alias("protein"), "domain_id")
     by_name = predictions.join(names, "protein").groupBy("id").agg(F.array_sort(F.collect_set("domain_id")).alias("name_matches"))
     none = F.array().cast("array<long>")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sigloom.functions import scalars as S
 from sigloom.operators import hits as H
+from sigloom.operators import matching
 from sigloom.operators import molecules as M
+from sigloom.operators import prediction as R
 from sigloom.operators import stratify, wide
-from sigloom.plans.catalogue import LAPS, VERSIONS, query, t, versions
+from sigloom.plans.catalogue import CLEAN, LAPS, SPARSE, VERSIONS, fingerprints, query, t, versions
 from sigloom.plans.more import BRANDS, brands
 
 # --- ordered reconciliation: b's rows in the order of their start ---------------------------------------------------------
@@ -83,3 +86,29 @@ def structures(spark, sf):
     back = M.fingerprints(two).select("id", F.col("fingerprint").alias("back"))
     sizes = one.select("id", F.size("atoms").cast("long").alias("atoms"))
     return M.fingerprints(one).join(back, "id").join(sizes, "id").select("id", "atoms", (F.col("fingerprint") == F.col("back")).alias("same"))
+
+
+# --- annotation by equivalent sequences: letters of texts are known domains', those of benchmark items predictions -------------------
+
+ALIKE = "(contains(i.a, d.a) OR contains(d.a, i.a) OR list_bool_or([right(i.a, k) = left(d.a, k) OR left(i.a, k) = right(d.a, k) FOR k IN range(greatest(1, (least(len(i.a), len(d.a)) * 0.8)::INT - 1), least(len(i.a), len(d.a)) + 1) IF k >= floor(least(len(i.a), len(d.a)) * 0.8)]))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {CLEAN} AS a FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {CLEAN} AS a FROM benchmark WHERE text IS NOT NULL),
+  m AS (SELECT item_id, doc_id FROM i JOIN d ON {ALIKE} WHERE i.a <> '' AND d.a <> '')
+  SELECT item_id AS id, coalesce(string_agg(doc_id, ',' ORDER BY doc_id), '') AS matches FROM i LEFT JOIN m USING (item_id) GROUP BY item_id""")
+def annotated_equivalent(spark, sf):
+    """The texts that hold a benchmark item's letters, are held by it, or overlap it."""
+    letters = lambda name, i: t(spark, sf, name).filter("text is not null").select(F.col(i).alias("id"), S.letters(F.col("text")).alias("sequence"))
+    known = letters("documents", "doc_id").select(F.col("id").alias("domain_id"), "sequence", F.array().cast("array<string>").alias("synonyms"))
+    found = R.annotate(letters("benchmark", "item_id").withColumn("protein", F.lit("none")), known, equivalent=True)
+    return found.select("id", F.array_join(F.transform("sequence_matches", lambda x: x.cast("string")), ",").alias("matches"))
+
+
+# --- sets of a vector's few largest places, alike by half: the prefix filter at a threshold that leaves something out -------------------
+
+SIMILAR = f"WITH {SPARSE}, g AS (SELECT vec_id, fp FROM f WHERE len(fp) > 0)"
+
+
+@query(f"{SIMILAR} SELECT a.vec_id AS id, b.vec_id AS other, round(len(list_intersect(a.fp, b.fp)) / (len(a.fp) + len(b.fp) - len(list_intersect(a.fp, b.fp))), 9) AS jaccard FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE len(list_intersect(a.fp, b.fp)) / (len(a.fp) + len(b.fp) - len(list_intersect(a.fp, b.fp))) >= 0.5")
+def similar_sets(spark, sf):
+    return matching.jaccard_pairs(fingerprints(spark, sf).filter(F.size("values") > 0), 0.5).withColumn("jaccard", F.round("jaccard", 9))
