@@ -5,13 +5,16 @@ vector is filed under the E8 lattice cells, its own and neighbouring ones, that
 vectors with the least cosine or more are near each other in one of the tables at least, as the squares of their distances in all
 tables add up to that of the whole: nearer than the reach, so that the cell of the point halfway has both. None is missed. A pair counts
 in the first such table and in that cell alone, so no pairs leave a task: a cell gives counts and one link for each vector.
+
+Cells are first gone through with eight bytes for each vector, its place in the cell. Only those that come near another one there are then
+compared with whole vectors.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,11 @@ BLOCK = 2000
 #: Groups up to this size are compared by shifting, many groups at a time.
 SMALL = 24
 PAIRS = 100_000
+#: Steps of a unit of the lattice in which places are noted, and how far two places noted so can be off, together.
+STEPS = 64
+ROUNDED = 2 * 8**0.5 / (2 * STEPS) + 1e-6
+#: Low bits of a cell's number that name its table.
+TABLE_BITS = 12
 #: Slack of the first comparison, which is made in another order of adding.
 SLACK = 1e-9
 
@@ -74,12 +82,13 @@ def cells(x: np.ndarray, probe: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed(points: np.ndarray, table: int | np.ndarray) -> np.ndarray:
-    """A number for each lattice point of a table."""
-    out = np.asarray(table).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.zeros(len(points), dtype=np.uint64)
+    """A number for each lattice point of a table, which ends in the table's."""
+    tables = np.asarray(table).astype(np.uint64) + np.zeros(len(points), dtype=np.uint64)
+    out = tables * np.uint64(0xC2B2AE3D27D4EB4F)
     for k in range(points.shape[1]):
         out = (out ^ points[:, k].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return (out >> np.uint64(TABLE_BITS) << np.uint64(TABLE_BITS) | tables).view(np.int64)
 
 
 @functools.cache
@@ -104,12 +113,13 @@ class Tables:
         unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
         return unit, unit @ self.turn
 
-    def filed(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(table, rows, cells) of all cells."""
+    def filed(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, cells, places) of all cells of each table; a place is eight steps from the cell's middle in one number."""
         at = self.turned(vectors)[1]
         for t in range(self.tables):
-            row, points = cells(at[:, 8 * t : 8 * t + 8] * self.scale, self.probe)
-            yield t, row, hashed(points, t)
+            own = at[:, 8 * t : 8 * t + 8] * self.scale
+            row, points = cells(own, self.probe)
+            yield row, hashed(points, t), np.round((own[row] - points / 2) * STEPS).astype(np.int8).view(np.int64)[:, 0]
 
     def near(self, vectors: np.ndarray, group: np.ndarray, table: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Linked pairs of rows of one group, which is a cell's: those that count in this cell. Rows of a group are next to each other."""
@@ -165,7 +175,7 @@ def numbers(column: pa.Array, kind: np.dtype) -> np.ndarray:
 
 
 def file_vectors(vectors: DataFrame, kind: str, least: float, probe: float) -> DataFrame:
-    """(cell, tab, node, copies, label, width, vec) of vectors (node, copies, label, width, vec), for every cell."""
+    """(kin, cell, node, place) of vectors (node, kin, width, vec), for every cell; kin is alike for vectors that are compared."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,50 +185,93 @@ def file_vectors(vectors: DataFrame, kind: str, least: float, probe: float) -> D
                 step = max(1, 2_000_000 // int(width) // 8)
                 for low in range(0, len(of), step):
                     own = batch.take(pa.array(of[low : low + step]))
-                    for t, row, cell in Tables(int(width), least, probe).filed(numbers(own.column("vec"), kind)):
-                        some = own.take(pa.array(row))
-                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(row), t, dtype=np.int32)), *some.columns], names=["cell", "tab", *own.schema.names])
+                    for row, cell, place in Tables(int(width), least, probe).filed(numbers(own.column("vec"), kind)):
+                        some = pa.array(row)
+                        yield pa.RecordBatch.from_arrays([own.column("kin").take(some), pa.array(cell), own.column("node").take(some), pa.array(place)], names=["kin", "cell", "node", "place"])
 
-    return vectors.select("node", "copies", "label", "width", "vec").mapInArrow(file, f"cell long, tab int, node long, copies long, label {vectors.schema['label'].dataType.simpleString()}, width int, vec binary")
+    return vectors.select("node", "kin", "width", "vec").mapInArrow(file, "kin int, cell long, node long, place long")
 
 
-def in_blocks(filed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """filed with one, two: the parts of a cell that meet. Large cells (sizes: label, width, cell, parts) are cut by hash, so that no task gets one whole."""
-    parted = filed.join(sizes, ["label", "width", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def in_blocks(filed: DataFrame, keys: list[str], block: int, scratch: Scratch, name: str) -> DataFrame:
+    """filed with part, one, two: the parts of a cell (of those keys) that meet, and the row's own. Cells of more than a block are cut by hash, so that no task gets one whole."""
+    sizes = filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block)
+    sizes = scratch.write(sizes.select(*keys, F.ceil(F.col("c") / block).cast("int").alias("parts")), name)
+    parted = filed.join(sizes, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     met = parted.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return met.select(*filed.columns, "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
 
 
-def compare(blocks: DataFrame, kind: str, least: float, probe: float) -> DataFrame:
-    """(node, n, link): how many vectors, copies counted each, a node is linked to in a block, and the smallest node that it reaches there."""
-    keys = ["label", "width", "cell", "one", "two"]
-
-    def flat(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        return batch.combine_chunks().to_batches()[0]
-
-    def found(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        new = np.zeros(len(rows), dtype=bool)
-        new[:1] = True
-        for k in keys[1:]:
-            x = rows.column(k).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        label = pa.array(rows.column("label")).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        new[1:] |= label[1:] != label[:-1]
-        group = np.cumsum(new)
-        alone = np.bincount(group)[group] == 1
-        some = np.flatnonzero(~alone)
+def each_group(blocks: DataFrame, keys: list[str], found: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """found(rows, group) over whole groups of equal keys, many at a time: group counts them up. A task's rows come in the keys' order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def started(rows: pa.RecordBatch) -> np.ndarray:
+            new = np.zeros(len(rows), dtype=bool)
+            new[:1] = True
+            for k in keys:
+                x = rows.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                new[1:] |= x[1:] != x[:-1]
+            return new
+
+        held: list[pa.RecordBatch] = []
+        for batch in (*(b for b in batches if len(b)), None):
+            whole = pa.Table.from_batches(held + ([batch] if batch is not None else [])).combine_chunks().to_batches() if held or batch is not None else []
+            if not whole:
+                continue
+            new = started(whole[0])
+            last = int(np.flatnonzero(new)[-1]) if batch is not None else len(new)  # the last group may go on
+            held = [whole[0].slice(last)] if batch is not None else []
+            if last and (out := found(whole[0].slice(0, last), np.cumsum(new[:last]))) is not None:
+                yield out
+
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def neighbours(filed: DataFrame, probe: float, block: int, scratch: Scratch) -> DataFrame:
+    """(cell, node): the rows of filed whose place is within reach of another one's in their cell, or a little farther, as places are rounded."""
+    most = (2 * probe + ROUNDED) ** 2 * STEPS**2
+
+    def found(rows: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch | None:
+        places = rows.column("place").to_numpy().view(np.int8).reshape(len(rows), 8).astype(np.float32)
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[starts, len(group)])
+        size_of, live = np.repeat(sizes, sizes), np.zeros(len(group), dtype=bool)
+        for shift in range(1, SMALL):
+            i = np.flatnonzero((group[shift:] == group[:-shift]) & (size_of[:-shift] <= SMALL))
+            i = i[((places[i] - places[i + shift]) ** 2).sum(axis=1) <= most]
+            live[i] = live[i + shift] = True
+        norm = (places**2).sum(axis=1)
+        for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+            own = slice(start, start + size)
+            for low in range(start, start + size, 1000):
+                some = slice(low, min(low + 1000, start + size))
+                near = norm[some, None] + norm[None, own] - 2 * places[some] @ places[own].T <= most
+                near[np.arange(some.stop - low), np.arange(some.stop - low) + low - start] = False
+                live[some] |= near.any(axis=1)
+        if not live.any():
+            return None
+        at = pa.array(np.flatnonzero(live))
+        return pa.RecordBatch.from_arrays([rows.column("cell").take(at), rows.column("node").take(at)], names=["cell", "node"])
+
+    blocks = in_blocks(filed, ["kin", "cell"], block, scratch, "filed-sizes")
+    return each_group(blocks, ["kin", "cell", "one", "two"], found, "cell long, node long").distinct()
+
+
+def compare(filed: DataFrame, kind: str, least: float, probe: float, block: int, scratch: Scratch) -> DataFrame:
+    """(node, link, n): how many vectors, copies counted each, a node of filed (label, width, cell, node, copies, vec) is linked to, by the smallest node that it reaches in a block."""
+
+    def found(rows: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch | None:
+        some = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(some):
             return None
         rows, group = rows.take(pa.array(some)), group[some]
-        node, copies, widths = (rows.column(k).to_numpy() for k in ("node", "copies", "width"))
-        part, one, two = (rows.column(k).to_numpy() for k in ("part", "one", "two"))
-        n, left, right = np.zeros(len(node), dtype=np.int64), [], []
+        node, copies, widths, cell, part, one, two = (rows.column(k).to_numpy() for k in ("node", "copies", "width", "cell", "part", "one", "two"))
+        tab, n, left, right = cell & (2**TABLE_BITS - 1), np.zeros(len(node), dtype=np.int64), [], []
         for width in np.unique(widths):
             of = np.flatnonzero(widths == width)
-            tables = Tables(int(width), least, probe)
             vectors = numbers(rows.column("vec").take(pa.array(of)), kind)
-            for i, j in tables.near(vectors, group[of], rows.column("tab").to_numpy()[of], rows.column("cell").to_numpy()[of]):
+            for i, j in Tables(int(width), least, probe).near(vectors, group[of], tab[of], cell[of]):
                 i, j = of[i], of[j]
                 apart = (one[i] == two[i]) | (part[i] != part[j])  # within a part they meet in its own block
                 i, j = i[apart], j[apart]
@@ -228,39 +281,14 @@ def compare(blocks: DataFrame, kind: str, least: float, probe: float) -> DataFra
                 linked = np.flatnonzero(least_of != np.arange(len(node)))
                 left.append(linked)
                 right.append(least_of[linked])
-        if not left or not n.any():
+        if not n.any():
             return None
         reached, own = joined(len(node), np.concatenate(left), np.concatenate(right)), np.flatnonzero(n)
         return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(n[own]), pa.array(node[reached[own]])], names=["node", "n", "link"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            mark = [batch.column(k) for k in keys]
-            last = len(batch) - 1
-            ends = [c.to_pylist()[0] for c in (m.slice(last, 1) for m in mark)]
-            same = np.ones(len(batch), dtype=bool)
-            for c, end in zip(mark, ends):
-                same &= np.array(c.to_pylist(), dtype=object) == end if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False) == end
-            start = int(np.argmax(same))
-            if start:
-                done = found(flat(pa.Table.from_batches([*held, batch.slice(0, start)])))
-                held = []
-                if done is not None:
-                    yield done
-            elif held and any(h.column(k)[-1].as_py() != end for h in held[-1:] for k, end in zip(keys, ends)):
-                done = found(flat(pa.Table.from_batches(held)))
-                held = []
-                if done is not None:
-                    yield done
-            held.append(batch.slice(start))
-        if held:
-            done = found(flat(pa.Table.from_batches(held)))
-            if done is not None:
-                yield done
-
-    dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "node long, n long, link long").groupBy("node", "link").agg(F.sum("n").alias("n"))
+    keys = ["label", "width", "cell"]
+    blocks = in_blocks(filed, keys, block, scratch, "live-sizes")
+    return each_group(blocks, [*keys, "one", "two"], found, "node long, n long, link long").groupBy("node", "link").agg(F.sum("n").alias("n"))
 
 
 def packed(column: str, kind: str):
@@ -299,12 +327,11 @@ def link_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     numbered = rows.filter("fine").groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"))
     numbered = numbered.select(F.monotonically_increasing_id().alias("node"), "copies", "first", "label", F.size("embedding").alias("width"), "embedding")
     distinct = scratch.write(numbered, "distinct")
-    vectors = distinct.select("node", "copies", "label", "width", "embedding")
-    vectors = vectors.mapInArrow(packed("embedding", kind), f"node long, copies long, label {rows.schema['label'].dataType.simpleString()}, width int, vec binary")
-    filed = file_vectors(vectors, kind, least, probe)
-    sizes = filed.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > block)
-    sizes = scratch.write(sizes.select("label", "width", "cell", F.ceil(F.col("c") / block).cast("int").alias("parts")), "sizes")
-    found = scratch.write(compare(in_blocks(filed, sizes, block), kind, least, probe), "links")
+    vectors = distinct.select("node", "copies", "label", F.hash("label", "width").alias("kin"), "width", "embedding")
+    vectors = scratch.write(vectors.mapInArrow(packed("embedding", kind), f"node long, copies long, label {rows.schema['label'].dataType.simpleString()}, kin int, width int, vec binary"), "packed")
+    live = scratch.write(neighbours(file_vectors(vectors, kind, least, probe), probe, block, scratch), "live")
+    filed = live.join(vectors.drop("kin"), "node").select("label", "width", "cell", "node", "copies", "vec")
+    found = scratch.write(compare(filed, kind, least, probe, block, scratch), "links")
     comps = components(found.select(F.col("node").alias("a"), F.col("link").alias("b")), scratch)
     own = distinct.join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(comps, "node", "left")
     own = own.select("label", "embedding", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
