@@ -32,7 +32,7 @@ THRESHOLD = 5
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,127}"
 #: A target name and a sign. What follows is read by literal_at().
-TARGET = re.compile(rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\[["'](?P<item>[^"'\n]{{1,128}})["']\])?[ \t]{{0,16}}(?::=|=>|[:=])(?![:=])[ \t]*+""", re.ASCII)
+TARGET = re.compile(rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\[["'](?P<item>[^"'\n]{{1,128}})["']\])?[ \t]*+(?::=|=>|[:=])(?![:=])[ \t]*+""", re.ASCII)
 #: Literals end with their own quote, whatever other quotes they hold, and have no greatest length; those in three quotes or in backticks may have many lines.
 QUOTED = re.compile(
     r"""(?:[rbufRBUF]{1,2})?(?:\"{3}(?P<three>(?:[^"\\]++|\\(?s:.)|"(?!""))++)\"{3}|'{3}(?P<trio>(?:[^'\\]++|\\(?s:.)|'(?!''))++)'{3}"""
@@ -42,7 +42,12 @@ BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>&|]++""")
 #: A block of lines follows that are indented more than the name's line.
 BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?\n")
 #: What joins quoted literals into one value.
-JOINT = re.compile(r"""["'`]{1,3}(?:\s{0,64}(?:\+|\.\.|\.|&|\\)\s{0,64}|[ \t]{1,64})(?=["'`])""")
+JOINT = re.compile(r"""["'`]{1,3}(?:\s*+(?:\+|\.\.|\.|&|\\)\s*+|[ \t]++)(?=["'`])""")
+#: A declared type between the colon and the value's own sign.
+TYPED = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\[\]\n]*+\])?[ \t]*+=(?![=>])[ \t]*+")
+#: A name that is added to what stands before it.
+ADDED = re.compile(rf"""["'`]{{0,3}}[ \t]*+\+[ \t]*+(?P<name>{NAME})(?![A-Za-z0-9_$.(\[-])""", re.ASCII)
+SPACE = re.compile(r"\s*+")
 ARMOUR = re.compile(r"""["'`]{0,3}(-----BEGIN [A-Z0-9 ]{1,64}-----)""")
 ARMOUR_END = "-----END "
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -50,8 +55,9 @@ IDENT = re.compile(rf"\$?\{{?({NAME})\}}?", re.ASCII)
 
 
 def name_score(name: str) -> int:
-    """How sensitive a target name is: the sum over its words, in snake, kebab, dotted or camel case."""
-    return sum(SENSITIVE.get(w.lower(), 0) for w in dict.fromkeys(WORDS.findall(name)))
+    """How sensitive a target name is: the sum over its words, in snake, kebab, dotted or camel case, one or many."""
+    words = (w.lower() for w in dict.fromkeys(WORDS.findall(name)))
+    return sum(SENSITIVE.get(w, SENSITIVE.get(w.removesuffix("s"), 0)) for w in words)
 
 
 def shape_score(value: str) -> int:
@@ -97,6 +103,24 @@ def literal_at(text: str, at: int, sign: int, last_armour: int) -> tuple[int, in
     return (m.start(), m.end(), False, m.end()) if m else None
 
 
+def listed(text: str, at: int) -> list[tuple[int, int]]:
+    """The quoted literals among the plain arguments or elements from there on, up to the bracket that closes them or anything else."""
+    found = []
+    while True:
+        at = SPACE.match(text, at).end()
+        m = QUOTED.match(text, at)
+        if m:
+            found.append((m.start(m.lastgroup), m.end(m.lastgroup)))
+        else:
+            m = BARE.match(text, at)
+        if not m:
+            return found
+        at = SPACE.match(text, m.end()).end()
+        if text[at : at + 1] != ",":
+            return found
+        at += 1
+
+
 def pairs_of(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
     """(target name, value, its parts as (start, end), quoted) of each assignment, whatever its syntax. Long texts without = and : cost nothing.
 
@@ -107,18 +131,40 @@ def pairs_of(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]
     for sign in re.finditer("[:=]", text):
         if sign.start() < done:
             continue
-        low = max(done, text.rfind("\n", max(0, sign.start() - 300), sign.start()) + 1, sign.start() - 300)
-        back = re.search(rf"""["']?{NAME}["']?(?:\[["'][^"'\n]{{1,128}}["']\])?[ \t]{{0,16}}$""", text[low : sign.start()], re.ASCII)
+        end = sign.start()
+        while end > done and text[end - 1] in " \t":  # of blanks there may be any number: they are before one sign only
+            end -= 1
+        low = max(done, text.rfind("\n", max(0, end - 300), end) + 1, end - 300)
+        back = re.search(rf"""["']?{NAME}["']?(?:\[["'][^"'\n]{{1,128}}["']\])?$""", text[low:end], re.ASCII)
         # A quote before the name that isn't the name's own opens what surrounds the assignment.
         m = (TARGET.match(text, low + back.start()) or TARGET.match(text, low + back.start() + 1)) if back else None
-        found = literal_at(text, m.end(), sign.start(), last_armour) if m else None
-        if found:
+        if not m:
+            continue
+        at = m.end()
+        typed = TYPED.match(text, at) if sign[0] == ":" else None
+        if typed and QUOTED.match(text, typed.end()):
+            at = typed.end()
+        found = literal_at(text, at, sign.start(), last_armour)
+        several = None
+        if found and not found[2] and text[found[1] : found[1] + 1] == "(":  # a call: its name is no value, its last literal is
+            several = listed(text, found[1] + 1)[-1:]
+        elif not found and text[at : at + 1] in ("[", "(", "{"):
+            several = listed(text, at + 1)
+        if several is not None:
+            if several:
+                done = several[0][0]
+                yield m["item"] or m["name"], "".join(text[a:b] for a, b in several), several, True
+        elif found:
             start, end, quoted, done = found
             parts = [(start, end)]
             # Literals that a sign or mere space joins are one value: each has its span, and they are scored together.
             while quoted and (joint := JOINT.match(text, parts[-1][1])) and (more := QUOTED.match(text, joint.end())):
                 parts.append((more.start(more.lastgroup), more.end(more.lastgroup)))
             yield m["item"] or m["name"], "".join(text[a:b] for a, b in parts), parts, quoted
+            tail = parts[-1][1]
+            while more := ADDED.match(text, tail):
+                yield m["item"] or m["name"], more["name"], [more.span("name")], False
+                tail = more.end()
 
 
 def named_spans(text: str) -> list[tuple[int, int]]:

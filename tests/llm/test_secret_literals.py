@@ -1,3 +1,5 @@
+import time
+
 from sigloom.llm import secrets
 
 
@@ -19,3 +21,16 @@ def test_literals_of_any_length_and_syntax_are_whole():
 
 def test_names_are_followed_in_any_order():
     assert named('DB_PASSWORD = k\nk = "f7Gh29xKq1LmZ0aa"\ncolor = "f7Gh29xKq1LmZ0ab"') == ["f7Gh29xKq1LmZ0aa"]
+
+
+def test_values_in_calls_lists_declarations_and_sums():
+    secret = "Zk93-pqLx72Wv!e"
+    named = lambda text: [text[a:b] for a, b in secrets.named_spans(text)]
+    for text in (f'pw: str = "{secret}"\ndb_password = pw', f'api_tokens = ["{secret}", "{secret}2"]', f'db_password = os.environ.get("PW", "{secret}")', f'db_password{" " * 40}= "{secret}"', f'secret_key = "{secret}"{" " * 90}+{" " * 90}"tail9"', f'K2 = "{secret}"\nsecret_key = "pre-" + K2', f'A = "{secret}"\nB = "{secret}3"\nsecret_key = A + B', f'password: Optional[str] = "{secret}"', f'secret_key = SecretStr("{secret}")'):
+        assert secret in named(text), text
+    assert named('db_password = os.environ.get("PW")') == [] and named("db_password = os.environ.get(name)") == []
+    assert secret + "2" in named(f'api_tokens = ["{secret}", "{secret}2"]') and secret + "3" in named(f'A = "{secret}"\nB = "{secret}3"\nsecret_key = A + B')
+    for slow in ("password" + " " * 200_000 + "x", "a = " * 30_000, 'k = ["a", ' * 20_000, "a + " * 40_000 + "= b", "x: " * 40_000, '"' + " " * 100_000 + '"' * 3):
+        start = time.time()
+        named(slow)
+        assert time.time() - start < 3, slow[:20]
