@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.operators.labels import size_class
+from sigloom.operators.matching import counted_pairs
+
 
 def match_entries(incoming: DataFrame, synonyms: DataFrame, sequences: DataFrame) -> DataFrame:
     """entry, matched, how: the known entry of each incoming one (entry, synonyms, sequence).
@@ -116,3 +119,33 @@ def mapped_labels(labels: Column, names: dict[str, str], sep: str = "|") -> Colu
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     meaning = F.transform(F.split(F.lower(labels), f"[{sep}]"), lambda x: F.coalesce(F.try_element_at(table, x), x))
     return F.array_join(F.array_distinct(F.flatten(F.transform(meaning, lambda x: F.split(x, f"[{sep}]")))), sep)
+
+
+def linked_taxa(proteins: DataFrame, taxonomy: DataFrame, known: DataFrame, ranks: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(links, new): protein_id with taxon_id of each protein (protein_id, synonyms) that a key of taxonomy (key and the ranks) names, and the taxa to be added.
+
+    A key joins names by bars; a protein's first synonym that has a taxon counts. Taxa are equal if all ranks are, null ones included: such a taxon is the
+    known one (taxon_id and the ranks; of several the smallest id), else one new one for all its proteins, whose id is a hash of the ranks.
+    """
+    of = F.struct(*ranks)
+    named = taxonomy.select(of.alias("ranks"), F.explode(F.split("key", r"\|")).alias("synonym")).groupBy("synonym").agg(F.max("ranks").alias("ranks"))
+    every = proteins.select("protein_id", F.posexplode("synonyms").alias("place", "synonym"))
+    found = every.join(named, "synonym").groupBy("protein_id").agg(F.min_by("ranks", "place").alias("ranks"))
+    # Null ranks are equal here: the key is the record as text.
+    key = lambda c: F.to_json(F.col(c), {"ignoreNullFields": "false"})
+    old = known.select("taxon_id", of.alias("ranks")).groupBy(key("ranks").alias("key")).agg(F.min("taxon_id").alias("taxon_id"))
+    both = found.withColumn("key", key("ranks")).join(old, "key", "left").withColumn("id", F.coalesce(F.col("taxon_id").cast("string"), F.sha2("key", 256)))
+    new = both.filter("taxon_id is null").select(F.col("id").alias("taxon_id"), "ranks.*").distinct()
+    return both.select("protein_id", F.col("id").alias("taxon_id")), new
+
+
+def substrate_graph(labels: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph of the labels that domains have: nodes (label, class) by how many domains have each, edges (label, other, distance) with label < other.
+
+    labels: (domain_id, label); fingerprints: (label, values). The distance is one less the share of common members; pairs without a common member are
+    left out, theirs is 1.
+    """
+    counts = labels.select("domain_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    used = fingerprints.join(counts.select("label"), "label", "left_semi").select(F.col("label").alias("id"), "values")
+    edges = counted_pairs(used, 0.0).select(F.col("id").alias("label"), "other", (1 - F.col("jaccard")).alias("distance"))
+    return counts.select("label", size_class(F.col("n")).alias("class")), edges

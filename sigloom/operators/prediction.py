@@ -196,6 +196,25 @@ def result_json(fields: list[str]) -> Column:
     return F.to_json(F.struct(*fields))
 
 
+def result_records(predictions: DataFrame, domains: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(protein_name, body): each protein's results as one nested JSON record, its domains by number and their labels from the most probable on, ties by name.
+
+    predictions: (id, label, smiles, p); domains: as domains_from_hits gives them; proteins: (seq_id, sequence). A protein without a domain has no record.
+    """
+    order = F.struct((-F.col("p")).alias("less"), "label", "smiles", "p")
+    ranked = F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["label"].alias("substrate_name"), x["smiles"].alias("substrate_smiles"), x["p"].alias("probability")))
+    own = domains.join(predictions.groupBy("id").agg(ranked.alias("predictions")), "id")
+    record = F.struct(F.col("seq_id").alias("domain_name"), "domain_nr", F.col("start").alias("domain_start"), F.col("end").alias("domain_end"), F.col("sequence").alias("domain_sequence"), F.col("signature").alias("domain_signature"), F.col("extended_signature").alias("domain_extended_signature"), "predictions")
+    results = own.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("domain_nr", record.alias("r")))), lambda x: x["r"]).alias("results"))
+    whole = results.join(proteins.select("seq_id", F.col("sequence").alias("protein_sequence")), "seq_id")
+    return whole.select(F.col("seq_id").alias("protein_name"), F.to_json(F.struct(F.col("seq_id").alias("protein_name"), F.col("protein_sequence").alias("sequence"), "results")).alias("body"))
+
+
+def in_order(domains: DataFrame) -> DataFrame:
+    """Domains in the order of output: by their protein's name as text, then by start."""
+    return domains.orderBy(F.col("seq_id").cast("string"), "start", "end")
+
+
 def write_top(scores: DataFrame, n: int, path: str) -> None:
     """A table of each id's n most probable labels, tab-separated with a header. Raises if some id has fewer labels."""
     fewest = scores.groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c")).first()[0]
