@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import scalars as S
 from sigloom.operators import hits as H
-from sigloom.operators import matching
+from sigloom.operators import matching, ranges
 from sigloom.operators import molecules as M
 from sigloom.operators import prediction as R
 from sigloom.operators import stratify, wide
-from sigloom.plans.catalogue import CLEAN, LAPS, SPARSE, VERSIONS, fingerprints, query, t, versions
+from sigloom.plans.catalogue import CLEAN, LAPS, ORACLE, SPARSE, VERSIONS, fingerprints, hits, query, t, versions
 from sigloom.plans.more import BRANDS, brands
 
 # --- ordered reconciliation: b's rows in the order of their start ---------------------------------------------------------
@@ -112,3 +112,10 @@ SIMILAR = f"WITH {SPARSE}, g AS (SELECT vec_id, fp FROM f WHERE len(fp) > 0)"
 @query(f"{SIMILAR} SELECT a.vec_id AS id, b.vec_id AS other, round(len(list_intersect(a.fp, b.fp)) / (len(a.fp) + len(b.fp) - len(list_intersect(a.fp, b.fp))), 9) AS jaccard FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE len(list_intersect(a.fp, b.fp)) / (len(a.fp) + len(b.fp) - len(list_intersect(a.fp, b.fp))) >= 0.5")
 def similar_sets(spark, sf):
     return matching.jaccard_pairs(fingerprints(spark, sf).filter(F.size("values") > 0), 0.5).withColumn("jaccard", F.round("jaccard", 9))
+
+
+# --- detection by ranges of places ------------------------------------------------------------------------------------------
+
+@query(ORACLE["detect_domains"])
+def detect_domains_in_ranges(spark, sf):
+    return ranges.detect_domains(hits(spark, sf))
