@@ -15,7 +15,7 @@ MASK = "[secret]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labels have; the others go."""
+    """Documents in one of the languages that the labels have; the others go, those with a null text or without a letter among them. Null ids and repeated rows stay rows of their own."""
     out = langid.predict_language(docs)
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
@@ -56,7 +56,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 4096 tokens."""
+    """Pieces of all documents in windows of 4096 tokens; a null or empty text is one piece of one token."""
     return packing.pack_documents(docs)
 
 
@@ -66,6 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each over all that the one before it kept, which is written in between: pieces of windows, as the last stage gives them.
+
+    Nulls, repeated rows and empty texts are as the stages say; an empty table gives none. Other columns than those of documents are passed on up to the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
