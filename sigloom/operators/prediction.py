@@ -132,8 +132,25 @@ def load_model(folder: str, scope: str = "all") -> PipelineModel:
 
 def train_labels(domains: DataFrame, labels: DataFrame, included: DataFrame, mode: str, properties: dict[str, list[float]], **settings) -> PipelineModel:
     """A forest over signature features for the domains' selected label (first_only or first_valid)."""
+    return _labelled_forest(featured(domains, properties), labels, included, mode, settings)
+
+
+def train_labels_embedded(domains: DataFrame, labels: DataFrame, included: DataFrame, mode: str, **settings) -> PipelineModel:
+    """As train_labels, over domains' (id, embedding) embeddings or components in place of signature features."""
+    return _labelled_forest(embedded(domains), labels, included, mode, settings)
+
+
+def embedded(domains: DataFrame) -> DataFrame:
+    """domains (id, embedding) with features: the embedding's numbers. Raises where they differ in size from the first, or are null."""
+    size = domains.select(F.size("embedding").alias("n")).first()
+    wrong = F.raise_error(F.concat(F.lit("another embedding for "), F.col("id").cast("string"))).cast("array<double>")
+    own = F.col("embedding").cast("array<double>")
+    return domains.withColumn("features", F.when(F.coalesce(F.size("embedding") == (size["n"] if size else 0), F.lit(False)), own).otherwise(wrong)).drop("embedding")
+
+
+def _labelled_forest(featured_domains: DataFrame, labels: DataFrame, included: DataFrame, mode: str, settings: dict) -> PipelineModel:
     chosen = select_labels(labels, included, mode).select(F.col("domain_id").alias("id"), F.col("labels").alias("label"))
-    return models.train_forest(featured(domains, properties).join(chosen, "id"), **settings)
+    return models.train_forest(featured_domains.join(chosen, "id"), **settings)
 
 
 def train_table(table: DataFrame, properties: dict[str, list[float]], **settings) -> PipelineModel:
@@ -146,7 +163,16 @@ def train_table(table: DataFrame, properties: dict[str, list[float]], **settings
 
 def train_pairs(domains: DataFrame, labels: DataFrame, known: DataFrame, properties: dict[str, list[float]], **settings) -> PipelineModel:
     """A forest over pairs of a domain and a known label (label, smiles, bits): class 1 where the domain has the label, else 0."""
-    pairs = paired(featured(domains, properties), known)
+    return _pair_forest(featured(domains, properties), labels, known, settings)
+
+
+def train_pairs_embedded(domains: DataFrame, labels: DataFrame, known: DataFrame, **settings) -> PipelineModel:
+    """As train_pairs, over domains' (id, embedding) embeddings or components."""
+    return _pair_forest(embedded(domains), labels, known, settings)
+
+
+def _pair_forest(featured_domains: DataFrame, labels: DataFrame, known: DataFrame, settings: dict) -> PipelineModel:
+    pairs = paired(featured_domains, known)
     true = labels.select(F.col("domain_id").alias("id"), "label", F.lit("1").alias("class_of")).distinct()
     rows = pairs.join(true, ["id", "label"], "left").select("id", "features", F.coalesce("class_of", F.lit("0")).alias("label"))
     return models.train_forest(rows, **settings)

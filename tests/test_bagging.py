@@ -42,3 +42,20 @@ def test_annotation_by_equivalent_sequences(spark):
     assert alike == {10: ([1, 2, 4], [1, 2]), 11: ([4], []), 12: ([], [2]), 13: ([], [])}
     same = {r["id"]: r["sequence_matches"] for r in R.annotate(asked, known).collect()}
     assert same == {10: [1], 11: [], 12: [], 13: []}
+
+
+def test_forests_over_embeddings(spark):
+    draw = random.Random(9)
+    rows = [(i, [float(i % 2) * 4 + draw.gauss(0, 0.5), draw.gauss(0, 1)]) for i in range(60)]
+    domains = spark.createDataFrame(rows, "id long, embedding array<float>")
+    labels = spark.createDataFrame([(i, "odd" if i % 2 else "even", 0) for i in range(60)] + [(3, "rare", 1)], "domain_id long, label string, ordinal int")
+    included = spark.createDataFrame([("odd",), ("even",)], "label string")
+    model = R.train_labels_embedded(domains, labels, included, "first_valid", trees=4, depth=3)
+    got = {r["id"]: r["label"] for r in models.predict(model, R.embedded(domains)).filter("p > 0.5").collect()}
+    assert got == {i: "odd" if i % 2 else "even" for i in range(60)}
+    known = spark.createDataFrame([("odd", "C", [0, 1]), ("even", "N", [1, 0])], "label string, smiles string, bits array<int>")
+    pairs = R.train_pairs_embedded(domains, labels, known, trees=8, depth=5)
+    scored = models.predict(pairs, R.paired(R.embedded(domains), known).selectExpr("struct(id, label) as pair", "features"), id_="pair").filter("label = '1' and p > 0.5").collect()
+    assert {(r["pair"]["id"], r["pair"]["label"]) for r in scored} == {(i, "odd" if i % 2 else "even") for i in range(60)}
+    with pytest.raises(Exception):
+        R.embedded(domains.union(spark.createDataFrame([(99, [1.0])], domains.schema))).collect()
