@@ -208,7 +208,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     blocks = max(1, -(-items.count() // item_block))
     dealt = wanted.join(known, "term").select("item", "id", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"))
     dealt = scratch.write(dealt.join(weighted, "id", "left"), "dealt") if blocks > 1 else dealt.join(weighted, "id", "left")
-    best = None
+    schema, path, best = "item long, doc_id long, score long", f"{scratch.folder}/best", None
     for block in range(blocks):
         of: dict[int, list[int]] = {}
         weights: dict[int, int] = {}
@@ -218,10 +218,13 @@ def rank_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
         if not of or not total:
             continue
         search = Search(of, weights, documents, total)
-        found = postings.mapInArrow(lambda batches, search=search: search.best(batches, top), "item long, doc_id long, score long")
-        best = found if best is None else best.union(found)
+        best = postings.mapInArrow(lambda batches, search=search: search.best(batches, top), schema)
+        if blocks > 1:  # one table for all blocks, so that the plan doesn't grow with them
+            best.write.mode("append").parquet(path)
     if best is None:
-        best = spark.createDataFrame([], "item long, doc_id long, score long")
+        best = spark.createDataFrame([], schema)
+    elif blocks > 1:
+        best = spark.read.schema(schema).parquet(path)
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     ranked = best.withColumn("rank", place).filter(F.col("rank") <= top)
     return ranked.join(items.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
