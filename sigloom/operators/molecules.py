@@ -12,11 +12,11 @@ from sigloom.functions.structures import read_structure
 
 #: Bonds that a neighbourhood reaches.
 RADIUS = 2
-READ = "id {id}, atoms array<struct<symbol:string,aromatic:boolean,charge:int,isotope:int,hydrogens:int>>, bonds array<struct<a:int,b:int,bond:string>>, fault string"
+READ = "id {id}, atoms array<struct<symbol:string,aromatic:boolean,charge:int,isotope:int,hydrogens:int>>, bonds array<struct<a:int,b:int,bond:string>>, near array<array<struct<b:int,bond:string>>>, fault string"
 
 
 def read_structures(molecules: DataFrame, structure: str = "smiles") -> DataFrame:
-    """(id, atoms, bonds, fault) of molecules (id, structure): fault says why an ill-formed one, or none, has no atoms."""
+    """(id, atoms, bonds, near, fault) of molecules (id, structure): near lists each atom's bonds; fault says why an ill-formed one, or none, has no atoms."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -24,12 +24,18 @@ def read_structures(molecules: DataFrame, structure: str = "smiles") -> DataFram
             for i, text in zip(batch["id"], batch["structure"]):
                 try:
                     atoms, bonds = read_structure((text or "").strip())
-                    rows.append((i, atoms, [{"a": a, "b": b, "bond": s} for a, b, s in bonds], None))
+                    near = [[] for _ in atoms]
+                    for a, b, s in bonds:
+                        near[a].append({"b": b, "bond": s})
+                        near[b].append({"b": a, "bond": s})
+                    rows.append((i, atoms, [{"a": a, "b": b, "bond": s} for a, b, s in bonds], near, None))
                 except ValueError as e:
-                    rows.append((i, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["id", "atoms", "bonds", "fault"])
+                    rows.append((i, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["id", "atoms", "bonds", "near", "fault"])
 
-    return molecules.select("id", F.col(structure).alias("structure")).mapInPandas(read, READ.format(id=molecules.schema["id"].dataType.simpleString()))
+    # Reading takes long for its bytes, and a small file is one task's: rows are dealt out first.
+    spread = molecules.select("id", F.col(structure).alias("structure")).repartition(int(molecules.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInPandas(read, READ.format(id=molecules.schema["id"].dataType.simpleString()))
 
 
 def atom_table(read: DataFrame) -> DataFrame:
@@ -45,19 +51,18 @@ def bond_table(read: DataFrame) -> DataFrame:
 
 
 def fingerprints(read: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(id, fingerprint): the hashes of all neighbourhoods of up to radius bonds, in order, each once; whichever atom the string starts from. Ill-formed ones have none.
+    """(id, n_atoms, fingerprint): the hashes of all neighbourhoods of up to radius bonds, in order, each once; whichever atom the string starts from. Ill-formed ones have none.
 
-    An atom's hash is that of its own properties; in every round it becomes that of itself with its neighbours' hashes and bonds, in order.
+    An atom's hash is that of its own properties; in every round it becomes that of itself with its neighbours' hashes and bonds, in order. A molecule's
+    atoms stay in its row, so that nothing is shuffled, joined or sent to all tasks.
     """
-    atoms, bonds = atom_table(read), bond_table(read)
-    now = atoms.select("id", "atom", F.xxhash64("symbol", "aromatic", "charge", "isotope", "hydrogens", "neighbours").alias("hash"))
-    every = now.select("id", "hash")
+    own = lambda x, i: F.xxhash64(*[x[c] for c in ("symbol", "aromatic", "charge", "isotope", "hydrogens")], F.size(F.get("near", i)))
+    now = read.filter("fault is null").select("id", "near", F.size("atoms").alias("n_atoms"), F.transform("atoms", own).alias("hash0"))
     for r in range(1, radius + 1):
-        near = bonds.join(now.select("id", F.col("atom").alias("b"), F.col("hash").alias("other")), ["id", "b"])
-        around = near.groupBy("id", F.col("a").alias("atom")).agg(F.array_sort(F.collect_list(F.struct("bond", "other"))).alias("around"))
-        now = now.join(around, ["id", "atom"], "left").select("id", "atom", F.xxhash64(F.lit(r), "hash", "around").alias("hash"))
-        every = every.union(now.select("id", "hash"))
-    return every.groupBy("id").agg(F.array_sort(F.collect_set("hash")).alias("fingerprint"))
+        before = f"hash{r - 1}"
+        around = lambda i: F.array_sort(F.transform(F.get("near", i), lambda n: F.struct(n["bond"].alias("bond"), F.get(before, n["b"]).alias("other"))))  # noqa: B023, E731
+        now = now.withColumn(f"hash{r}", F.transform(before, lambda h, i: F.xxhash64(F.lit(r), h, around(i))))  # noqa: B023
+    return now.select("id", "n_atoms", F.array_sort(F.array_distinct(F.concat(*[f"hash{r}" for r in range(radius + 1)]))).alias("fingerprint"))
 
 
 def same_molecules(read: DataFrame) -> DataFrame:

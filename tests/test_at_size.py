@@ -1,7 +1,6 @@
 """What showed at larger tables only, on tables as small as show it."""
 
-import pytest
-
+from sigloom.operators import molecules as M
 from sigloom.sources import sqlsurface
 
 
@@ -10,3 +9,11 @@ def test_an_export_has_all_rows(spark):
     found = sqlsurface.sql_export(spark, "SELECT id FROM long_table")
     assert found.count() == 100_500 and sqlsurface.export_lines(found).count() == 100_500
     assert sqlsurface.sql_export(spark, "SELECT id FROM long_table", most=7).count() == 7
+
+
+def test_molecules_are_neither_joined_nor_sent_around(spark):
+    rows = [(1, "CCO"), (2, "OCC"), (3, "CC(=O)N"), (4, "C(")]
+    found = M.fingerprints(M.read_structures(spark.createDataFrame(rows, "id long, smiles string")))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: (r["n_atoms"], tuple(r["fingerprint"])) for r in found.collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[2] and got[1] != got[3]
