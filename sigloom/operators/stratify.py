@@ -55,7 +55,7 @@ def next_round(groups: DataFrame, totals: DataFrame, shares: list[float]) -> Dat
     left = opened.groupBy("label").agg(F.sum("n").alias("left"))
     # Groups are dealt out next to those with like further labels, the rarest first, so that each of these is spread evenly too.
     serving = opened.join(left, "label").groupBy("own").agg(F.array_sort(F.collect_list(F.struct("left", "label"))).alias("order")).withColumn("by", F.col("order")[0])
-    marked = opened.join(serving, "own").withColumn("mine", F.col("by.label") == F.col("label"))
+    marked = opened.join(serving.hint("merge"), "own").withColumn("mine", F.col("by.label") == F.col("label"))
     ready = marked.groupBy("label").agg(F.bool_and("mine").alias("ready")).filter("ready").select("label")
     served = marked.filter("mine").join(ready, "label").select("label", "own", "n", "order")
     given = groups.filter("given is not null").select(F.explode("own").alias("label"), F.posexplode("given").alias("fold", "x")).groupBy("label", "fold").agg(F.sum("x").alias("x"))
@@ -74,7 +74,7 @@ def next_round(groups: DataFrame, totals: DataFrame, shares: list[float]) -> Dat
 
     kind = groups.schema["own"].dataType.simpleString()
     now = sized.select("label", "own", "n", "start", "every", "total", has.alias("has")).mapInPandas(deal, f"own {kind}, now array<bigint>")
-    return groups.join(now, "own", "left").select("own", "n", F.coalesce("given", "now").alias("given"))
+    return groups.join(now.hint("merge"), "own", "left").select("own", "n", F.coalesce("given", "now").alias("given"))
 
 
 def iterative_parts(labels: DataFrame, shares: list[float]) -> DataFrame:
@@ -89,7 +89,7 @@ def iterative_parts(labels: DataFrame, shares: list[float]) -> DataFrame:
     totals = checkpointed(groups.select(F.explode("own").alias("label"), "n").groupBy("label").agg(F.sum("n").alias("total")))
     while not groups.filter("given is null").isEmpty():
         groups = checkpointed(next_round(groups, totals, shares))
-    placed = numbered(sets.join(groups.select("own", "given"), "own"), ["own"], F.col("domain_id"), "place", "of")
+    placed = numbered(sets.join(groups.select("own", "given").hint("merge"), "own"), ["own"], F.col("domain_id"), "place", "of")
     ends = F.transform(F.sequence(F.lit(1), F.size("given")), lambda k: F.aggregate(F.slice("given", F.lit(1), k), F.lit(0).cast("bigint"), lambda s, x: s + x))
     return placed.select("domain_id", F.size(F.filter(ends, lambda e: e < F.col("place"))).alias("part"))
 
