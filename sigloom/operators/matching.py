@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import jaccard, same_set
-from sigloom.operators.overlap import equivalent_pairs
+from sigloom.operators.overlap import equivalent_pairs, equivalent_texts
 
 #: Below this similarity prefixes leave nearly nothing out.
 LEAST_FILTERED = 0.2
@@ -65,4 +65,4 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     return both.select("id", "other", jaccard(F.col("id_values"), F.col("other_values")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-__all__ = ["equivalent_pairs", "specificity_match", "occurrences", "same_sets", "jaccard_pairs", "jaccard"]
+__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "jaccard_pairs", "jaccard"]

@@ -4,7 +4,8 @@ A pair is equivalent if one holds the other, or a suffix of one is a prefix of t
 shorter one's m. In each case the longer one holds the first or the last t letters of the shorter one as they are. Shorter ones are
 filed by size classes under the minimizers of their first and last T letters (T: the least t of the class), longer ones under the minimizers of all
 their windows of T letters: of a window's pieces of K letters the one with the least hash, so that like windows have like minimizers.
-A minimizer that two have in common fixes how they lie to each other, and the letters there decide.
+A minimizer that two have in common fixes how they lie to each other, and the letters there decide. Where both are as long, either may take
+the shorter one's part, so the last letters are filed by those alone that can meet a longer one.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SINGLE, SPREAD = 12, 1.15
 #: Letters that a task looks at at once.
 CELLS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Up to so many keys of the shorter ones are sent to every task, which then files no other ones; more are joined alone.
+SENT_KEYS = 500_000
 
 
 def least_overlap(m: int, share: float = SHARE) -> int:
@@ -76,8 +79,11 @@ def by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield own, np.array([texts[i] for i in own], dtype=f"U{m}").view(np.uint32).reshape(len(own), m)
 
 
-def filed(seqs: DataFrame, classes: list[int] | None, share: float = SHARE) -> DataFrame:
-    """(key, node, place, m) of seqs (node, seq): under the minimizers of all windows of the classes' sizes, or where classes is null under those of both ends."""
+def filed(seqs: DataFrame, classes: list[int] | None, share: float = SHARE, longest: int | None = None) -> DataFrame:
+    """(key, node, place, m) of seqs (node, seq): under the minimizers of all windows of the classes' sizes, or where classes is null under those of both ends.
+
+    longest: the size of the longest one to be met; the last letters of one as long are left out.
+    """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +95,7 @@ def filed(seqs: DataFrame, classes: list[int] | None, share: float = SHARE) -> D
                     found, k = hashed_pieces(codes, piece(size)), piece(size)
                     if classes is None:
                         first, last = minimizers(codes[:, :size], size), minimizers(codes[:, m - size :], size) + (m - size)
-                        places = np.concatenate([first, last], axis=1)
+                        places = first if m == longest else np.concatenate([first, last], axis=1)
                     else:
                         places = minimizers(codes, size)
                     held = np.zeros((len(codes), m - k + 1), dtype=bool)
@@ -101,20 +107,62 @@ def filed(seqs: DataFrame, classes: list[int] | None, share: float = SHARE) -> D
     return seqs.select("node", "seq").mapInArrow(file, "key long, node long, place int, m int")
 
 
-def equivalent_texts(a: DataFrame, b: DataFrame, share: float = SHARE) -> DataFrame:
-    """(seq, other) of equivalent texts of a and b (seq), which hold each once and no empty one."""
-    side = {name: checkpointed(d.select(F.monotonically_increasing_id().alias("node"), "seq")) for name, d in (("a", a), ("b", b))}
-    lengths = {name: [r[0] for r in d.select(F.greatest(F.lit(1), F.floor(F.length("seq") * share)).alias("t")).distinct().collect()] for name, d in side.items()}  # as many as there are lengths
-    classes = {name: sorted({class_size(t) for t in found}) for name, found in lengths.items()}
+def held_pieces(seqs: DataFrame, classes: list[int], keys: np.ndarray) -> DataFrame:
+    """As filed, under the keys (sorted) alone, and under all places that have one: texts are gone through in a row, whatever their number and sizes."""
+    sent = seqs.sparkSession.sparkContext.broadcast(keys)
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = sent.value
+        seen = np.zeros(1 << 22, dtype=bool)  # most places are told by a few bits of their key
+        seen[(keys.view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
+        for batch in batches:
+            nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            if not texts:
+                continue
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            ends = np.cumsum(sizes)
+            flat = np.array("".join(texts), dtype=f"U{max(1, int(sizes.sum()))}").reshape(1).view(np.uint32)
+            for size in classes:
+                k = piece(size)
+                for at in range(0, max(0, len(flat) - k + 1), CELLS):
+                    key = (hashed_pieces(flat[None, at : at + CELLS + k - 1], k)[0] ^ np.uint64(size)) * MULTIPLIER
+                    some = np.flatnonzero(seen[(key >> np.uint64(42)).astype(np.int64)])
+                    found = key[some].view(np.int64)
+                    some = some[keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found]
+                    row = np.searchsorted(ends, some + at, "right")
+                    inside = (some + at + k <= ends[row]) & (size <= sizes[row])
+                    some, row = some[inside], row[inside]
+                    place = some + at - (ends - sizes)[row]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(nodes[row]), pa.array(place.astype(np.int32)), pa.array(sizes[row].astype(np.int32))], names=["key", "node", "place", "m"])
+
+    return seqs.select("node", "seq").mapInArrow(file, "key long, node long, place int, m int")
+
+
+def equivalent_texts(a: DataFrame, b: DataFrame | None = None, share: float = SHARE) -> DataFrame:
+    """(seq, other) of equivalent texts of a and b (seq), which hold each once and no empty one; without b, of a and itself."""
+    sides = {"a": a} if b is None else {"a": a, "b": b}
+    side = {name: checkpointed(d.select(F.monotonically_increasing_id().alias("node"), "seq")) for name, d in sides.items()}
+    lengths = {name: [r[0] for r in d.select(F.length("seq").alias("m")).distinct().collect()] for name, d in side.items()}  # as many as there are lengths
 
     def met(short: str, long: str) -> DataFrame:
         """The candidates (x, y, d) with x the shorter, d letters after y's start."""
-        one = filed(side[short], None, share).select("key", F.col("node").alias("x"), F.col("place").alias("at"), F.col("m").alias("x_m"))
-        two = filed(side[long], classes[short], share).select("key", F.col("node").alias("y"), F.col("place").alias("on"), F.col("m").alias("y_m"))
+        most = max(lengths[long], default=0)
+        sizes = sorted({class_size(least_overlap(m, share)) for m in lengths[short] if m <= most})
+        some = side[short].filter(F.length("seq") <= most)
+        one = checkpointed(filed(some, None, share, most)) if short != long else filed(some, None, share, most)
+        keys = one.select("key").distinct().limit(SENT_KEYS + 1).collect() if short != long else []
+        if short != long and len(keys) <= SENT_KEYS:
+            two = held_pieces(side[long], sizes, np.sort(np.array([r[0] for r in keys], dtype=np.int64))) if keys else filed(side[long].limit(0), sizes, share)
+        else:
+            two = filed(side[long], sizes, share)
+        one = one.select("key", F.col("node").alias("x"), F.col("place").alias("at"), F.col("m").alias("x_m"))
+        two = two.select("key", F.col("node").alias("y"), F.col("place").alias("on"), F.col("m").alias("y_m"))
         d = F.col("on") - F.col("at")
         k = F.least(F.col("x_m") + F.least(d, F.lit(0)), F.col("y_m") - F.greatest(d, F.lit(0)))
         fits = (F.col("x_m") <= F.col("y_m")) & (k >= F.greatest(F.lit(1), F.floor(F.col("x_m") * share)))
-        return one.join(two, "key").filter(fits).select("x", "y", d.alias("d"), k.alias("k")).distinct()
+        if short == long:
+            fits = fits & (F.col("x") != F.col("y"))
+        return checkpointed(one.join(two, "key").filter(fits).select("x", "y", d.alias("d"), k.alias("k")).distinct())
 
     def checked(short: str, long: str) -> DataFrame:
         text = lambda name, node: side[name].select(F.col("node").alias(node), F.col("seq").alias(f"{node}_seq"))
@@ -122,6 +170,10 @@ def equivalent_texts(a: DataFrame, b: DataFrame, share: float = SHARE) -> DataFr
         held = F.substr("x_seq", F.greatest(-F.col("d"), F.lit(0)) + 1, F.col("k")) == F.substr("y_seq", F.greatest(F.col("d"), F.lit(0)) + 1, F.col("k"))
         return both.filter(held)
 
+    if b is None:
+        one = checkpointed(checked("a", "a").select(F.col("x_seq").alias("seq"), F.col("y_seq").alias("other")))
+        # Every text is equivalent to itself; no other pair is one of equal texts.
+        return one.union(one.select("other", "seq")).distinct().union(side["a"].select("seq", F.col("seq").alias("other")))
     one = checked("a", "b").select(F.col("x_seq").alias("seq"), F.col("y_seq").alias("other"))
     return one.union(checked("b", "a").select("y_seq", "x_seq")).distinct()
 

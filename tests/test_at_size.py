@@ -1,6 +1,11 @@
 """What showed at larger tables only, on tables as small as show it."""
 
+import random
+
+import pytest
+
 from sigloom.operators import molecules as M
+from sigloom.operators import overlap, stratify
 from sigloom.sources import sqlsurface
 
 
@@ -17,3 +22,33 @@ def test_molecules_are_neither_joined_nor_sent_around(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     got = {r["id"]: (r["n_atoms"], tuple(r["fingerprint"])) for r in found.collect()}
     assert set(got) == {1, 2, 3} and got[1] == got[2] and got[1] != got[3]
+
+
+def test_label_sets_are_not_sent_to_all_tasks(spark):
+    groups = spark.createDataFrame([(["a", "b"], 3, None), (["b"], 2, None)], "own array<string>, n long, given array<long>")
+    totals = spark.createDataFrame([("a", 3), ("b", 5)], "label string, total long")
+    found = stratify.next_round(groups, totals, [0.5, 0.5])
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "(own#" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
+    assert sum(sum(r["given"]) for r in found.filter("given is not null").collect()) > 0
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_equivalent_texts_by_either_way(spark, monkeypatch, most):
+    draw = random.Random(5)
+    long = "".join(draw.choice("ACDE") for _ in range(600))
+    cut = lambda least, last: (lambda at, m: long[at : at + m])(draw.randrange(500), draw.randrange(least, last))
+    a, b = sorted({cut(1, 60) for _ in range(60)} | {"A", "CC"}), sorted({cut(20, 90) for _ in range(60)})
+    laps = lambda x, y: any(x[-k:] == y[:k] for k in range(max(1, int(min(len(x), len(y)) * 0.8)), min(len(x), len(y)) + 1))
+    alike = lambda x, y: x in y or y in x or laps(x, y) or laps(y, x)
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "seq string")
+    monkeypatch.setattr(overlap, "SENT_KEYS", most)
+    got = [tuple(r) for r in overlap.equivalent_texts(frame(a), frame(b)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x in a for y in b if alike(x, y)}
+    got = [tuple(r) for r in overlap.equivalent_texts(frame(a)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x in a for y in a if alike(x, y)}
+
+
+def test_the_longest_are_filed_by_their_first_letters_alone(spark):
+    one = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWYACCDDEEFFGGHHI")], "node long, seq string")
+    assert overlap.filed(one, None, longest=34).count() == 1 and overlap.filed(one, None, longest=35).count() == 2
