@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import jaccard, same_set
+from sigloom.operators.labels import checkpointed
 from sigloom.operators.overlap import equivalent_pairs, equivalent_texts
 
 #: Below this similarity prefixes leave nearly nothing out.
 LEAST_FILTERED = 0.2
+#: Sets are filed under all parts that a similar one may share, where these are so many at most.
+PARTS = 100
+#: Pairs that a task counts.
+COUNTED = 1_000_000
 
 
 def specificity_match(a, b):
@@ -33,36 +41,94 @@ def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def counted_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """As jaccard_pairs, by counting what every two sets that share a member share."""
+    """As jaccard_pairs, by counting what every two sets that share a member share. Tasks are as many as the pairs ask for, so that none grows with them."""
     sized = sets.select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
-    members = sized.select("id", "n", F.explode("values").alias("member"))
-    other = members.select(F.col("id").alias("other"), F.col("n").alias("other_n"), "member")
-    shared = members.join(other, "member").filter(F.col("id") < F.col("other")).groupBy("id", "other", "n", "other_n").agg(F.count(F.lit(1)).alias("common"))
+    members = checkpointed(sized.select("id", "n", F.explode("values").alias("member")))
+    pairs = members.groupBy("member").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(pairs / COUNTED))
+    dealt = members.repartition(tasks, "member")
+    other = dealt.select(F.col("id").alias("other"), F.col("n").alias("other_n"), "member")
+    met = dealt.join(other.hint("merge"), "member").filter(F.col("id") < F.col("other")).repartition(tasks, "id", "other")
+    shared = met.groupBy("id", "other", "n", "other_n").agg(F.count(F.lit(1)).alias("common"))
     value = F.col("common") / (F.col("n") + F.col("other_n") - F.col("common"))
     return shared.select("id", "other", value.alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
+def keyed_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of sets (id, values), the key being the set in order, and (key, class_id, n): each distinct set, the least id that has it, and how many do."""
+    keyed = checkpointed(sets.filter("values is not null").select("id", same_set(F.col("values")).alias("key")))
+    return keyed, keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+
+
+def equal_links(sets: DataFrame) -> DataFrame:
+    """(id, class_id, n_links): the least id with an equal set, and how many other rows have one. Copies aren't written as pairs."""
+    keyed, classes = keyed_sets(sets)
+    return keyed.join(classes, "key").select("id", "class_id", (F.col("n") - 1).alias("n_links"))
+
+
+def jaccard_links(sets: DataFrame, least: float) -> DataFrame:
+    """(id, class_id, n_links) of sets that aren't empty: the least id with an equal set, and how many other rows have a set with a Jaccard similarity of least or more.
+
+    Distinct sets are compared once, whatever the number of their copies.
+    """
+    keyed, classes = keyed_sets(sets.filter(F.size("values") > 0))
+    classes = checkpointed(classes)
+    pairs = jaccard_pairs(classes.select(F.col("class_id").alias("id"), F.col("key").alias("values")), least).select("id", "other")
+    sizes = classes.select("class_id", "n")
+    both = pairs.union(pairs.select("other", "id")).join(sizes.select(F.col("class_id").alias("other"), "n"), "other").select(F.col("id").alias("class_id"), "n")
+    links = both.union(sizes).groupBy("class_id").agg((F.sum("n") - 1).alias("n_links"))
+    return keyed.join(classes.select("key", "class_id"), "key").join(links, "class_id").select("id", "class_id", "n_links")
+
+
+def shared_least(p: int, q: int, least: float) -> int:
+    """How many members sets of p and q members have in common at least, if they are similar enough."""
+    return max(1, ceil(least / (1 + least) * (p + q) - 1e-9))
+
+
+def by_parts(p: int, q: int, least: float) -> bool:
+    o = shared_least(p, q, least)
+    return o <= min(p, q) and max(comb(p, o), comb(q, o)) <= PARTS
+
+
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(id, other, jaccard) of pairs with id < other and a Jaccard similarity of least or more.
 
-    Members are ordered by how many sets have them; two sets that are similar enough meet in the first n - ceil(least * n) + 1 of each, and their
-    sizes differ by least at most. Only such pairs are compared. Below LEAST_FILTERED prefixes are nearly whole sets, and shared members are counted instead.
+    Small sets are filed, for each size of the other, under all their parts of so many members as both share at least: what meets is similar.
+    For larger ones, members are ordered by how many sets have them; two sets that are similar enough meet in the first n - ceil(least * n) + 1 of each, and
+    their sizes differ by least at most. Only such pairs are compared. Below LEAST_FILTERED prefixes are nearly whole sets, and shared members are counted instead.
     """
     if least < LEAST_FILTERED:
         return counted_pairs(sets, least)
-    sized = sets.select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
-    members = sized.select("id", "n", F.explode("values").alias("member"))
-    ordered = members.join(members.groupBy("member").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "member")
-    own = Window.partitionBy("id").orderBy("c", "member")
-    # Members that no other set has come first in the order and use up places.
-    ahead = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")) + F.row_number().over(own)
-    prefix = ordered.withColumn("place", ahead).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    side = lambda c: prefix.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), "member")
-    fits = (F.col("id_n") >= least * F.col("other_n") - 1e-9) & (F.col("other_n") >= least * F.col("id_n") - 1e-9)
-    pairs = side("id").join(side("other"), "member").filter((F.col("id") < F.col("other")) & fits).select("id", "other").distinct()
+    sized = checkpointed(sets.select("id", F.array_sort(F.array_distinct("values")).alias("values")).withColumn("n", F.size("values")))
+    sizes = sorted(r[0] for r in sized.select("n").distinct().collect() if r[0] and r[0] > 0)  # as many as there are sizes
+    fit = [(p, q) for p in sizes for q in sizes if p >= least * q - 1e-9 and q >= least * p - 1e-9]
+    parts = [(p, min(p, q), max(p, q), list(c)) for p, q in fit if by_parts(p, q, least) for c in combinations(range(p), shared_least(p, q, least))]
+    longer = [(p, q) for p, q in fit if not by_parts(p, q, least)]
+    pairs = None
+    if parts:
+        table = F.broadcast(sets.sparkSession.createDataFrame(parts, "n int, small int, large int, places array<int>"))
+        key = F.xxhash64("small", "large", F.transform("places", lambda i: F.get("values", i)))
+        filed = sized.join(table, "n").select("id", "small", "large", "n", key.alias("key"))
+        of = lambda c: filed.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), "small", "large", "key")
+        sizes_fit = (F.least("id_n", "other_n") == F.col("small")) & (F.greatest("id_n", "other_n") == F.col("large"))
+        pairs = of("id").join(of("other").hint("merge"), ["key", "small", "large"]).filter((F.col("id") < F.col("other")) & sizes_fit).select("id", "other")
+    if longer:
+        own_sizes = F.broadcast(sets.sparkSession.createDataFrame([(p,) for p in sorted({p for p, _ in longer})], "n int"))
+        members = sized.join(own_sizes, "n", "left_semi").select("id", "n", F.explode("values").alias("member"))
+        ordered = members.join(members.groupBy("member").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "member")
+        own = Window.partitionBy("id").orderBy("c", "member")
+        # Members that no other set has come first in the order and use up places.
+        ahead = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")) + F.row_number().over(own)
+        prefix = ordered.withColumn("place", ahead).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+        side = lambda c: prefix.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), "member")
+        fits = (F.col("id_n") >= least * F.col("other_n") - 1e-9) & (F.col("other_n") >= least * F.col("id_n") - 1e-9)
+        met = side("id").join(side("other"), "member").filter((F.col("id") < F.col("other")) & fits).select("id", "other")
+        pairs = met if pairs is None else pairs.union(met)
+    if pairs is None:
+        return counted_pairs(sets.limit(0), least)
     held = lambda c: sized.select(F.col("id").alias(c), F.col("values").alias(f"{c}_values"))
-    both = pairs.join(held("id"), "id").join(held("other"), "other")
+    both = pairs.distinct().join(held("id"), "id").join(held("other"), "other")
     return both.select("id", "other", jaccard(F.col("id_values"), F.col("other_values")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "jaccard_pairs", "jaccard"]
+__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "equal_links", "jaccard_links", "jaccard_pairs", "jaccard"]

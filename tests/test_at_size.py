@@ -5,7 +5,7 @@ import random
 import pytest
 
 from sigloom.operators import molecules as M
-from sigloom.operators import overlap, stratify
+from sigloom.operators import matching, overlap, population, stratify
 from sigloom.sources import sqlsurface
 
 
@@ -52,3 +52,31 @@ def test_equivalent_texts_by_either_way(spark, monkeypatch, most):
 def test_the_longest_are_filed_by_their_first_letters_alone(spark):
     one = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWYACCDDEEFFGGHHI")], "node long, seq string")
     assert overlap.filed(one, None, longest=34).count() == 1 and overlap.filed(one, None, longest=35).count() == 2
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8])
+def test_links_of_sets_with_copies(spark, least):
+    draw = random.Random(9)
+    sets = [sorted(draw.sample(range(12), draw.randrange(0, 5))) for _ in range(150)] + [sorted(draw.sample(range(30), 20)) for _ in range(20)] + [list(range(20)), list(range(1, 21))]
+    sets = list(enumerate(sets + sets[:40]))
+    alike = lambda x, y: len(set(x) & set(y)) >= least * len(set(x) | set(y)) - 1e-12
+    df = spark.createDataFrame(sets, "id long, values array<int>")
+    want = {(i, min(k for k, y in sets if x == y), sum(bool(y) and alike(x, y) for _, y in sets) - 1) for i, x in sets if x}
+    assert sorted(map(tuple, matching.jaccard_links(df, least).collect())) == sorted(want)
+    want = {(i, min(k for k, y in sets if x == y), sum(x == y for _, y in sets) - 1) for i, x in sets}
+    assert sorted(map(tuple, matching.equal_links(df).collect())) == sorted(want)
+
+
+def test_pairs_are_counted_in_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(matching, "COUNTED", 100)
+    df = spark.createDataFrame([(i, [i % 7, 7 + i % 5, 100 + i]) for i in range(100)], "id long, values array<int>")
+    found = matching.jaccard_pairs(df, 0.15)
+    assert found.rdd.getNumPartitions() > 4 or "hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == sum((len({i % 7, 7 + i % 5} & {k % 7, 7 + k % 5}) or 0) > 0 for i in range(100) for k in range(i))
+
+
+def test_populating_without_a_look_at_equivalents(spark, monkeypatch):
+    monkeypatch.setattr(population, "equivalent_pairs", None)
+    tables = population.empty(spark)
+    rows = spark.createDataFrame([("a", "MK", "S", "E", [])], "entry string, sequence string, signature string, extended_signature string, labels array<string>")
+    assert population.new_domains(rows, tables, "new")["domains"].count() == 1
