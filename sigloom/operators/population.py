@@ -84,13 +84,14 @@ def new_domains(incoming: DataFrame, tables: dict[str, DataFrame], on_equivalent
     domains, synonyms = tables["domains"], tables["domain_synonyms"]
     named = incoming.withColumn("synonyms", F.split("entry", r"\|"))
     found = etl.match_entries(named.select("entry", "synonyms", "sequence"), synonyms.select(F.col("domain_id").alias("id"), "synonym"), domains.select(F.col("domain_id").alias("id"), "sequence"))
-    open_ = found.filter("matched is null").select("entry").join(incoming.select("entry", "sequence"), "entry")
-    alike = equivalent_pairs(open_.select(F.col("entry").alias("id"), F.col("sequence").alias("seq")), domains.select(F.col("domain_id").alias("id"), F.col("sequence").alias("seq")))
-    if on_equivalent == "error":
-        refuse(alike, "equivalent sequences", "id", "other")
-    if on_equivalent == "merge":
-        merged = alike.groupBy(F.col("id").alias("entry")).agg(F.max("other").alias("other"))
-        found = found.join(merged, "entry", "left").withColumn("matched", F.coalesce("matched", "other")).drop("other")
+    if on_equivalent != "new":  # nothing else asks which sequences are equivalent
+        open_ = found.filter("matched is null").select("entry").join(incoming.select("entry", "sequence"), "entry")
+        alike = equivalent_pairs(open_.select(F.col("entry").alias("id"), F.col("sequence").alias("seq")), domains.select(F.col("domain_id").alias("id"), F.col("sequence").alias("seq")))
+        if on_equivalent == "error":
+            refuse(alike, "equivalent sequences", "id", "other")
+        if on_equivalent == "merge":
+            merged = alike.groupBy(F.col("id").alias("entry")).agg(F.max("other").alias("other"))
+            found = found.join(merged, "entry", "left").withColumn("matched", F.coalesce("matched", "other")).drop("other")
     both = named.join(found.select("entry", "matched"), "entry")
     old = both.filter("matched is not null").join(domains.select(*[F.col(c).alias(f"old_{c}") for c in domains.columns]), F.col("matched") == F.col("old_domain_id"))
     refuse(old.filter(~S.equivalent(F.col("sequence"), F.col("old_sequence"))), "another sequence for domain", "entry")
