@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import scalars as S
 from sigloom.operators import etl
+from sigloom.operators.labels import checkpointed
 from sigloom.operators.matching import equivalent_pairs
 from sigloom.operators.numbering import numbered
 
@@ -220,7 +221,8 @@ def issue_files(issues: DataFrame) -> dict[str, DataFrame]:
 
     The body is JSON or has a fenced block of it. Raises for an issue without.
     """
-    read = issues.select("number", F.from_json(S.fenced_json(F.col("body")), ISSUE).alias("b"))
+    # Written once: each table, and the look for issues without an entry, would parse every body again for each field that it names.
+    read = checkpointed(issues.select("number", F.from_json(S.fenced_json(F.col("body")), ISSUE).alias("b")))
     refuse(read.filter("b is null or b.protein_name is null"), "no entry in issue", "number")
     each = read.select("number", F.explode("b.domains").alias("d"))
     record = lambda column: each.select("number", F.col("d.name").alias("id"), F.col(f"d.{column}").alias("seq"))

@@ -200,3 +200,13 @@ def test_users_own_tables_are_checked(spark):
     for wrong in (lambda: G.scoped(spark.range(1), "plants"), lambda: G.rank_column("tribe")):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_issues_bodies_are_parsed_once(spark):
+    entry = '{"protein_name": "p", "protein_sequence": "M", "domains": [{"name": "d", "sequence": "s", "substrates": ["a", "b"]}]}'
+    bodies = [(1, entry), (2, f" \n{entry}"), (3, f"New\n```json\n{entry}\n```\n"), (4, f"See:\n```\n{entry}\n```\nand ```json\n{{}}\n```")]
+    found = P.issue_files(spark.createDataFrame(bodies, "number long, body string"))
+    assert sorted(tuple(r) for r in found["dataset"].collect()) == [(k, "d", "s", "a|b") for k in (1, 2, 3, 4)]
+    for rows in found.values():
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "parse_json" not in plan.lower()
