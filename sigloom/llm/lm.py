@@ -1,8 +1,8 @@
 """Language-model scoring: causal self-attention over subword ids, in numpy, beside the counts of all words.
 
 The network gives each next id's class from the ids before it; an id's share of its class follows the counts over all training documents.
-It learns from a sample first, then by tasks from windows of every training document, whose weights are averaged. Overlapping windows score each
-id once, in batches with a causal mask. A word's probability is a mean of its ids' under the network, of its share of
+It learns by tasks, whose weights are averaged, in rounds that share out the training documents: each is learned from in full, every id of it once at least.
+Overlapping windows score each id once, in batches with a causal mask. A word's probability is a mean of its ids' under the network, of its share of
 the words so far in the text, and of its share of all training words, so what the model knows grows with the corpus in full. A plain unigram score stands beside it.
 """
 
@@ -28,11 +28,13 @@ WINDOW, STRIDE = 24, 20
 EMBEDDED, SINGLES = 4096, 64
 BANDS = 16
 START, END = 49406, 49407
-#: The network's first steps are on parts of about so many documents.
-SAMPLE_DOCS, PART_CHARS = 1200, 500
 STEPS, BATCH, RATE = 300, 128, 0.01
-#: Then every training document has a part in one of the rounds: a window of what lies in so many bytes at the start of every so many.
-ROUNDS, DRAWN, SPACED, ROUND_RATE = 2, 120, 2640, 0.003
+#: Training documents are dealt into so many lots by hash; a round takes those up to a number, with its rate. Few at first, so that tasks part from weights that are learned already.
+LOTS, ROUNDS = 64, ((1, 0.01), (8, 0.006), (64, 0.003))
+#: Where there are fewer training documents than FEW_DOCS, they are gone through again, MOST_TIMES at most.
+FEW_DOCS, MOST_TIMES = 2000, 8
+#: What drawn_windows takes: a window of what lies in so many bytes at the start of every so many.
+DRAWN, SPACED = 120, 2640
 #: Windows worked on together: their matrices stay small enough to be kept by the allocator and the cache.
 BLOCK = 96
 #: So many of the most frequent words have their counts sent to every task; the others' are joined.
@@ -88,7 +90,7 @@ def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]
     Scores are clipped, so exponentials need no shift; what lies ahead is masked out after them.
     """
     x = w["e"][rows] + w["p"]
-    q, k, v = np.split(times(x, w["qkv"]), 3, axis=-1)
+    q, k, v = map(np.ascontiguousarray, np.split(times(x, w["qkv"]), 3, axis=-1))
     att = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
     att *= np.float32(DIM**-0.5)
     np.clip(att, -40, 40, out=att)
@@ -107,34 +109,38 @@ def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]
 
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, truth: np.ndarray, used: np.ndarray) -> dict[str, np.ndarray]:
     s = forward(w, rows)
-    p = np.exp(s["logits"] - s["logits"].max(axis=-1, keepdims=True))
-    p /= p.sum(axis=-1, keepdims=True)
     n, t = rows.shape
-    p[np.arange(n)[:, None], np.arange(t), truth] -= 1
-    p *= (used / used.sum())[:, :, None]
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    g = {"out": flat(s["top"]).T @ flat(p), "bias": p.sum(axis=(0, 1))}
+    p = flat(s["logits"])
+    np.exp(p, out=p)  # logits stay small: no shift is needed
+    ones, share = np.ones(p.shape[1], dtype=p.dtype), used.reshape(-1) / used.sum()
+    p *= (share / (p @ ones))[:, None]
+    p.reshape(-1)[np.arange(n * t) * p.shape[1] + truth.reshape(-1)] -= share
+    top, inner, h = flat(s["top"]), flat(s["inner"]), flat(s["h"])
+    g = {"out": top.T @ p, "bias": np.ones(n * t, dtype=p.dtype) @ p}
     d_top = p @ w["out"].T
-    g["b"] = flat(s["inner"]).T @ flat(d_top)
-    d_inner = (d_top @ w["b"].T) * (s["inner"] > 0)
-    g["a"] = flat(s["h"]).T @ flat(d_inner)
+    g["b"] = inner.T @ d_top
+    d_inner = d_top @ w["b"].T
+    d_inner *= inner > 0
+    g["a"] = h.T @ d_inner
     d_h = d_top + d_inner @ w["a"].T
-    g["o"] = flat(s["mixed"]).T @ flat(d_h)
-    d_mixed = d_h @ w["o"].T
-    d_att = np.matmul(d_mixed, s["v"].transpose(0, 2, 1))
+    g["o"] = flat(s["mixed"]).T @ d_h
+    d_mixed = times(d_h, w["o"].T).reshape(n, t, DIM)
+    d_score = np.matmul(d_mixed, s["v"].transpose(0, 2, 1))
     d_v = np.matmul(s["att"].transpose(0, 2, 1), d_mixed)
-    d_score = s["att"] * (d_att - (d_att * s["att"]).sum(axis=-1, keepdims=True)) * np.float32(DIM**-0.5)
-    d_q, d_k = np.matmul(d_score, s["k"]), np.matmul(d_score.transpose(0, 2, 1), s["q"])
-    d_qkv = np.concatenate([d_q, d_k, d_v], axis=-1)
+    d_score -= np.einsum("ntd,ntd->nt", d_mixed, s["mixed"])[:, :, None]
+    d_score *= s["att"]
+    d_score *= np.float32(DIM**-0.5)
+    d_qkv = np.concatenate([np.matmul(d_score, s["k"]), np.matmul(d_score.transpose(0, 2, 1), s["q"]), d_v], axis=-1)
     g["qkv"] = flat(s["x"]).T @ flat(d_qkv)
-    d_x = d_h + d_qkv @ w["qkv"].T
-    g["p"] = d_x.sum(axis=0)
-    g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], rows.reshape(-1), flat(d_x))
+    d_x = d_h + flat(d_qkv) @ w["qkv"].T
+    g["p"] = d_x.reshape(n, t, DIM).sum(axis=0)
+    places = rows.reshape(-1)[:, None] * DIM + np.arange(DIM)
+    g["e"] = np.bincount(places.reshape(-1), weights=d_x.reshape(-1), minlength=w["e"].size).reshape(w["e"].shape).astype(w["e"].dtype)
     return g
 
 
-def windows_of(ids: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(ids: np.ndarray, per_text: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """inputs, targets and used (n x WINDOW) and each window's places among all targets; used marks each target exactly once.
 
     A text's inputs are the start and its ids, its targets its ids and the end.
@@ -148,11 +154,11 @@ def windows_of(ids: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.nd
     targets[~last] = ids
     inputs = np.roll(targets, 1)
     inputs[firsts] = START
-    counts = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    counts = 1 + np.maximum(0, -(-(sizes - WINDOW) // stride))
     owner = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = (nth * STRIDE)[:, None] + np.arange(WINDOW)
-    used = (place < sizes[owner][:, None]) & ((nth == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
+    place = (nth * stride)[:, None] + np.arange(WINDOW)
+    used = (place < sizes[owner][:, None]) & ((nth == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - stride))
     at = firsts[owner][:, None] + np.minimum(place, sizes[owner][:, None] - 1)
     return inputs[at], targets[at], used, at
 
@@ -173,12 +179,18 @@ class Adam:
             w[k] -= (self.rate * ease * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
 
 
-def train(ids: np.ndarray, per_text: np.ndarray, counts: np.ndarray, ends: np.ndarray, steps: int = STEPS, seed: int = 11) -> Model:
-    """A network after its first steps, on windows drawn from some texts' ids."""
+def untrained(counts: np.ndarray, ends: np.ndarray, seed: int = 11) -> Model:
+    """A network that knows how frequent each class is, and no more."""
     input_of, class_of, share = classes_of(counts, ends)
     model = Model(input_of, class_of, share.astype(np.float32), fresh(seed))
     mass = np.bincount(class_of, weights=counts + 0.5, minlength=len(model.weights["bias"]))
     model.weights["bias"] = np.log(np.maximum(mass, 1e-3) / mass.sum()).astype(np.float32)
+    return model
+
+
+def train(ids: np.ndarray, per_text: np.ndarray, counts: np.ndarray, ends: np.ndarray, steps: int = STEPS, seed: int = 11) -> Model:
+    """A network after so many steps on windows drawn from the texts' ids; for texts at hand, the tasks' way is trained_by_tasks."""
+    model = untrained(counts, ends, seed)
     if len(ids):
         inputs, targets, used, _ = windows_of(ids, per_text)
         rng, adam = np.random.default_rng(seed), Adam(model, RATE)
@@ -201,7 +213,7 @@ def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def drawn_windows(texts: list[bytes], ids: ChunkIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """inputs, targets and used of one window at the start of every SPACED bytes of each text; only what lies there is tokenised.
+    """inputs, targets and used of one window at the start of every SPACED bytes of each text; only what lies there is tokenised. No query learns from these alone.
 
     A part runs from white space to white space; the first follows the start, and one that reaches the text's end is followed by the end.
     """
@@ -231,8 +243,8 @@ def drawn_windows(texts: list[bytes], ids: ChunkIds) -> tuple[np.ndarray, np.nda
     return np.maximum(inputs, 0)[some], np.maximum(targets, 0)[some], used[some].astype(np.float32)
 
 
-def trained_by_tasks(model: Model, texts: DataFrame, vocabulary: str, round_no: int) -> Model:
-    """The model after one round: every task starts from its weights and learns from windows of the texts (binary) it has; the mean, by windows, is the new model.
+def trained_by_tasks(model: Model, texts: DataFrame, vocabulary: str, round_no: int, rate: float, again: int = 1) -> Model:
+    """The model after one round: every task starts from its weights and learns from all windows of the texts (binary) it has, again if asked; the mean, by targets, is the new model.
 
     Tasks' weights are summed up by a few tasks, so the driver gets a few vectors of the model's size, whatever the corpus.
     """
@@ -245,14 +257,15 @@ def trained_by_tasks(model: Model, texts: DataFrame, vocabulary: str, round_no:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, n = sent.value, chunk_ids(vocabulary), 0
         own = Model(own.input_of, own.class_of, own.share, {k: v.copy() for k, v in own.weights.items()})
-        adam = Adam(own, ROUND_RATE)
+        adam = Adam(own, rate)
         for batch in in_parts(batches, 0, SOME_BYTES):
-            inputs, targets, used = drawn_windows(lowered(batch.column(0)).cast(pa.binary()).to_pylist(), ids)
-            order = np.random.default_rng(round_no).permutation(len(inputs))
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                adam.learn(inputs[pick], targets[pick], used[pick])
-                n += len(pick)
+            inputs, targets, used, _ = windows_of(*ids.flows(lowered(batch.column(0))), stride=WINDOW)
+            for turn in range(again):
+                order = np.random.default_rng((round_no, turn)).permutation(len(inputs))
+                for at in range(0, len(order), BATCH):
+                    pick = order[at : at + BATCH]
+                    adam.learn(inputs[pick], targets[pick], used[pick].astype(np.float32))
+            n += int(used.sum())
         if n:
             yield row(n, packed(own.weights) * n)
 
@@ -371,16 +384,6 @@ def token_counts(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def sampled_texts(docs: DataFrame, docs_in_all: int) -> pa.Array:
-    """A part of about SAMPLE_DOCS documents (doc_id, text), drawn by the hash of their texts."""
-    draw = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    start = F.greatest(F.lit(1), F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PART_CHARS, F.lit(1))).cast("int"))
-    part = F.substr(F.col("text"), start, F.lit(PART_CHARS)).cast("binary")
-    some = docs.filter("text is not null").filter(draw < SAMPLE_DOCS / max(docs_in_all, 1)).select(part.alias("part")).distinct()
-    rows = some.orderBy(F.xxhash64("part"), "part").limit(4 * SAMPLE_DOCS).collect()
-    return lowered(pa.array([bytes(r["part"]) for r in rows], pa.binary()))
-
-
 #: The key of a document's own row among words: no word has white space.
 ROW_MARK = b" "
 
@@ -407,10 +410,10 @@ def score_documents(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text
     for r in token_counts(words, vocabulary).collect():  # a row per id of the vocabulary at most
         counts[r["token"]] = r["n"]
     counts[END] = n_docs
-    model = train(*ids.flows(sampled_texts(training, n_docs)), counts, ids.ends)
-    for k in range(ROUNDS if n_docs else 0):
-        part = training.filter((F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k) & F.col("text").isNotNull())
-        model = trained_by_tasks(model, part.select(F.col("text").cast("binary")), vocabulary, k)
+    model, lot, again = untrained(counts, ids.ends), F.pmod(F.xxhash64("text"), F.lit(LOTS)), min(MOST_TIMES, -(-FEW_DOCS // max(n_docs, 1)))
+    for k, (below_lot, rate) in enumerate(ROUNDS if n_docs else ()):
+        part = training.filter((lot >= (ROUNDS[k - 1][0] if k else 0)) & (lot < below_lot))
+        model = trained_by_tasks(model, part.select(F.col("text").cast("binary")), vocabulary, k, rate, again)
     head = {bytes(w).decode(): c for w, c in frequent(words, "word", "n", HEAD_WORDS)}
     sent = spark.sparkContext.broadcast((head, model))
 
