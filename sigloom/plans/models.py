@@ -17,7 +17,7 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("of_class"))
     whole = sizes.agg(F.sum("of_class").alias("n"), F.count(F.lit(1)).alias("k"))
     weights = sizes.crossJoin(F.broadcast(whole)).select(label, (F.col("n") / (F.col("k") * F.col("of_class"))).alias("weight"))
-    return rows.join(weights, label)
+    return rows.join(F.broadcast(weights), label)  # a row a class: a class's rows stay where they are
 
 
 #: Fixed value: the forests' seed.
