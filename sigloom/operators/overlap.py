@@ -24,6 +24,8 @@ SHARE = 0.8
 SINGLE, SPREAD = 12, 1.15
 #: Letters that a task looks at at once.
 CELLS = 1_000_000
+#: Letters in a row that are held against the keys at once: what is made of them stays in the processor's cache.
+IN_ROW = 32_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Up to so many keys of the shorter ones are sent to every task, which then files no other ones; more are joined alone.
 SENT_KEYS = 500_000
@@ -46,20 +48,25 @@ def piece(size: int) -> int:
     return max(min(size, SINGLE), 2 * size // 3)
 
 
-def hashed_pieces(codes: np.ndarray, size: int) -> np.ndarray:
-    """A mixed hash of the pieces of so many letters at each place of each row."""
-    letters, power, out = codes.astype(np.uint64) + np.uint64(1), int(MULTIPLIER), None
-    whole, done = letters, 1
-    need, at = size, 0
-    while need:  # pieces of doubled sizes, put together
-        if need & 1:
-            part = whole[:, at : at + codes.shape[1] - size + 1]
-            out = part if out is None else out * np.uint64(power) + part
-            at += done
-        need >>= 1
-        if need:
-            whole = whole[:, : whole.shape[1] - done] * np.uint64(power) + whole[:, done:]
-            power, done = power * power % 2**64, 2 * done
+def doublings(codes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Plain hashes of the 1, 2, 4, ... letters from each place of each row on, up to so many."""
+    out, done, power = [codes.astype(np.uint64) + np.uint64(1)], 1, int(MULTIPLIER)
+    while 2 * done <= most:
+        whole = out[-1]
+        out.append(whole[:, : whole.shape[1] - done] * np.uint64(power) + whole[:, done:])
+        power, done = power * power % 2**64, 2 * done
+    return out
+
+
+def hashed_pieces(codes: np.ndarray, size: int, doubled: list[np.ndarray] | None = None) -> np.ndarray:
+    """A mixed hash of the pieces of so many letters at each place of each row; doubled: the doublings up to that size, where they are at hand."""
+    doubled = doublings(codes, size) if doubled is None else doubled
+    out, at, count = None, 0, codes.shape[1] - size + 1
+    for k in range(size.bit_length()):  # pieces of doubled sizes, put together
+        if size >> k & 1:
+            part = doubled[k][:, at : at + count]
+            out = part if out is None else out * np.uint64(pow(int(MULTIPLIER), 1 << k, 2**64)) + part
+            at += 1 << k
     out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(29))
 
@@ -113,8 +120,9 @@ def held_pieces(seqs: DataFrame, classes: list[int], keys: np.ndarray) -> DataFr
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = sent.value
-        seen = np.zeros(1 << 22, dtype=bool)  # most places are told by a few bits of their key
-        seen[(keys.view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
+        bits = min(22, max(12, int(len(keys) * 32).bit_length()))  # most places are told by a few bits of their key
+        seen, rest = np.zeros(1 << bits, dtype=bool), np.uint64(64 - bits)
+        seen[(keys.view(np.uint64) >> rest).astype(np.int64)] = True
         for batch in batches:
             nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             if not texts:
@@ -122,17 +130,24 @@ def held_pieces(seqs: DataFrame, classes: list[int], keys: np.ndarray) -> DataFr
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             ends = np.cumsum(sizes)
             flat = np.array("".join(texts), dtype=f"U{max(1, int(sizes.sum()))}").reshape(1).view(np.uint32)
-            for size in classes:
-                k = piece(size)
-                for at in range(0, max(0, len(flat) - k + 1), CELLS):
-                    key = (hashed_pieces(flat[None, at : at + CELLS + k - 1], k)[0] ^ np.uint64(size)) * MULTIPLIER
-                    some = np.flatnonzero(seen[(key >> np.uint64(42)).astype(np.int64)])
+            most = max(map(piece, classes))
+            for first in range(0, len(flat), IN_ROW):
+                block = flat[None, first : first + IN_ROW + most - 1]
+                doubled = doublings(block, most)
+                for size in classes:
+                    k = piece(size)
+                    if block.shape[1] < k:
+                        continue
+                    key = (hashed_pieces(block, k, doubled)[0, :IN_ROW] ^ np.uint64(size)) * MULTIPLIER
+                    some = np.flatnonzero(seen[(key >> rest).astype(np.int64)])
                     found = key[some].view(np.int64)
                     some = some[keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found]
-                    row = np.searchsorted(ends, some + at, "right")
-                    inside = (some + at + k <= ends[row]) & (size <= sizes[row])
+                    if not len(some):
+                        continue
+                    row = np.searchsorted(ends, some + first, "right")
+                    inside = (some + first + k <= ends[row]) & (size <= sizes[row])
                     some, row = some[inside], row[inside]
-                    place = some + at - (ends - sizes)[row]
+                    place = some + first - (ends - sizes)[row]
                     yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(nodes[row]), pa.array(place.astype(np.int32)), pa.array(sizes[row].astype(np.int32))], names=["key", "node", "place", "m"])
 
     return seqs.select("node", "seq").mapInArrow(file, "key long, node long, place int, m int")
@@ -180,6 +195,7 @@ def equivalent_texts(a: DataFrame, b: DataFrame | None = None, share: float = SH
 
 def equivalent_pairs(a: DataFrame, b: DataFrame, share: float = SHARE) -> DataFrame:
     """(id, other) of equivalent sequences of a and b (id, seq). Equal sequences are compared once; null and empty ones are left out."""
-    some = lambda d: d.filter("seq <> ''").select("seq").distinct()
-    pairs = equivalent_texts(some(a), some(b), share)
-    return pairs.join(a.select("id", "seq"), "seq").join(b.select(F.col("id").alias("other_id"), F.col("seq").alias("other")), "other").select("id", F.col("other_id").alias("other"))
+    some = lambda d: checkpointed(d.filter("seq <> ''").select("id", "seq"))
+    a, b = some(a), some(b)  # what makes the sequences of texts runs once
+    pairs = equivalent_texts(a.select("seq").distinct(), b.select("seq").distinct(), share)
+    return pairs.join(a, "seq").join(b.select(F.col("id").alias("other_id"), F.col("seq").alias("other")), "other").select("id", F.col("other_id").alias("other"))
