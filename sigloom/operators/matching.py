@@ -16,8 +16,10 @@ from sigloom.operators.overlap import equivalent_pairs, equivalent_texts
 LEAST_FILTERED = 0.2
 #: Sets are filed under all parts that a similar one may share, where these are so many at most.
 PARTS = 100
-#: Pairs that a task counts.
+#: Pairs that a task counts, or writes out.
 COUNTED = 1_000_000
+#: Rows with one set that stand together where their pairs are written out.
+BLOCK = 1_000
 
 
 def specificity_match(a, b):
@@ -80,6 +82,43 @@ def jaccard_links(sets: DataFrame, least: float) -> DataFrame:
     return keyed.join(classes.select("key", "class_id"), "key").join(links, "class_id").select("id", "class_id", "n_links")
 
 
+def class_blocks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, key, n): each distinct set of sets (id, values), its number and how many rows have it; and (class, block, ids): those rows, about BLOCK at a time.
+
+    Only the sets that more rows have than a block holds are sent to the rows, so that no task gets all rows of one.
+    """
+    keyed = checkpointed(sets.filter("values is not null").select("id", same_set(F.col("values")).alias("key")))
+    classes = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("class"), "key", "n"))
+    large = classes.filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = keyed.join(F.broadcast(large), "key", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
+    blocks = dealt.groupBy("key", "block").agg(F.collect_list("id").alias("ids")).join(classes.select("key", "class"), "key")
+    return classes, checkpointed(blocks.select("class", "block", "ids"))
+
+
+def pairs_of_rows(linked: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, other, jaccard), id < other, of all rows of the linked classes (a, b, jaccard), a class with itself among them.
+
+    Blocks meet blocks, and what meets is dealt to as many tasks as the pairs ask for, which write them out row by row.
+    """
+    sizes = classes.select("class", F.col("n").cast("double").alias("n"))
+    both = linked.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b")
+    count = both.agg(F.sum(F.col("a_n") * F.col("b_n"))).first()[0] or 0
+    tasks = max(int(linked.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(count / COUNTED))
+    side = lambda c: blocks.toDF(c, f"{c}_block", f"{c}_ids")
+    met = linked.join(side("a"), "a").join(side("b"), "b").filter((F.col("a") != F.col("b")) | (F.col("a_block") <= F.col("b_block")))
+    own = (F.col("a") == F.col("b")) & (F.col("a_block") == F.col("b_block"))
+    dealt = met.select("a_ids", "b_ids", own.alias("own"), "jaccard", F.xxhash64("a", "a_block", "b", "b_block").alias("deal")).repartition(tasks, "deal")
+    rows = dealt.select("own", "jaccard", "b_ids", F.explode("a_ids").alias("x")).select("own", "jaccard", "x", F.explode("b_ids").alias("y"))
+    return rows.filter((F.col("x") < F.col("y")) | (~F.col("own") & (F.col("x") > F.col("y")))).select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other"), "jaccard")
+
+
+def equal_pairs(sets: DataFrame) -> DataFrame:
+    """(id, other) with id < other of equal sets (id, values)."""
+    classes, blocks = class_blocks(sets)
+    linked = classes.filter("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("jaccard"))
+    return pairs_of_rows(linked, classes, blocks).select("id", "other")
+
+
 def shared_least(p: int, q: int, least: float) -> int:
     """How many members sets of p and q members have in common at least, if they are similar enough."""
     return max(1, ceil(least / (1 + least) * (p + q) - 1e-9))
@@ -131,4 +170,4 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     return both.select("id", "other", jaccard(F.col("id_values"), F.col("other_values")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "equal_links", "jaccard_links", "jaccard_pairs", "jaccard"]
+__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "equal_links", "jaccard_links", "equal_pairs", "jaccard_pairs", "jaccard"]

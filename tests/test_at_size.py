@@ -6,6 +6,7 @@ import pytest
 
 from sigloom.operators import molecules as M
 from sigloom.operators import matching, overlap, population, stratify
+from sigloom.plans import catalogue
 from sigloom.sources import sqlsurface
 
 
@@ -80,3 +81,23 @@ def test_populating_without_a_look_at_equivalents(spark, monkeypatch):
     tables = population.empty(spark)
     rows = spark.createDataFrame([("a", "MK", "S", "E", [])], "entry string, sequence string, signature string, extended_signature string, labels array<string>")
     assert population.new_domains(rows, tables, "new")["domains"].count() == 1
+
+
+def copies(draw):
+    """Sets with copies, as (id, values): an id that comes up twice, none, and empty sets among them."""
+    sets = [sorted(draw.sample(range(9), draw.randrange(0, 4))) for _ in range(120)] + [[1, 2]] * 30 + [list(range(20)), list(range(1, 21))]
+    return [*enumerate(sets), (3, [1, 2]), (3, [1, 2]), (None, [1, 2])]
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_equal_sets_are_written_as_pairs_of_all_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
+    sets = copies(random.Random(4))
+    want = [(i, k) for i, x in sets for k, y in sets if None not in (i, k) and i < k and x == y]
+    assert sorted(map(tuple, matching.equal_pairs(spark.createDataFrame(sets, "id long, values array<int>")).collect())) == sorted(want)
+
+
+def test_same_molecules_gives_the_pairs(spark, tmp_path):
+    spark.createDataFrame([(i, [0.5 if k == i % 3 else 0.0 for k in range(64)]) for i in range(8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalogue.QUERIES["same_molecules"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.select("id", "other").collect())) == [(i, k) for i in range(8) for k in range(i + 1, 8) if i % 3 == k % 3]
