@@ -119,6 +119,14 @@ def equal_pairs(sets: DataFrame) -> DataFrame:
     return pairs_of_rows(linked, classes, blocks).select("id", "other")
 
 
+def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """As jaccard_pairs, of sets that aren't empty: distinct sets are compared once, then the rows that have them are written out as pairs."""
+    classes, blocks = class_blocks(sets.filter(F.size("values") > 0))
+    unlike = jaccard_pairs(classes.select(F.col("class").alias("id"), F.col("key").alias("values")), least).toDF("a", "b", "jaccard")
+    alike = classes.filter("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("jaccard"))
+    return pairs_of_rows(checkpointed(unlike.union(alike)), classes, blocks)
+
+
 def shared_least(p: int, q: int, least: float) -> int:
     """How many members sets of p and q members have in common at least, if they are similar enough."""
     return max(1, ceil(least / (1 + least) * (p + q) - 1e-9))
@@ -170,4 +178,4 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     return both.select("id", "other", jaccard(F.col("id_values"), F.col("other_values")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "equal_links", "jaccard_links", "equal_pairs", "jaccard_pairs", "jaccard"]
+__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "equal_links", "jaccard_links", "equal_pairs", "similar_pairs", "jaccard_pairs", "jaccard"]

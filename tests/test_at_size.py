@@ -6,7 +6,7 @@ import pytest
 
 from sigloom.operators import molecules as M
 from sigloom.operators import matching, overlap, population, stratify
-from sigloom.plans import catalogue
+from sigloom.plans import catalogue, further  # noqa: F401 (adds its queries)
 from sigloom.sources import sqlsurface
 
 
@@ -101,3 +101,21 @@ def test_same_molecules_gives_the_pairs(spark, tmp_path):
     spark.createDataFrame([(i, [0.5 if k == i % 3 else 0.0 for k in range(64)]) for i in range(8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = catalogue.QUERIES["same_molecules"](spark, str(tmp_path))
     assert sorted(map(tuple, found.select("id", "other").collect())) == [(i, k) for i in range(8) for k in range(i + 1, 8) if i % 3 == k % 3]
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+@pytest.mark.parametrize("least", [0.3, 0.5])
+def test_similar_sets_are_written_as_pairs_of_all_rows(spark, monkeypatch, least, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
+    sets = copies(random.Random(6))
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = [(i, k, round(share(x, y), 6)) for i, x in sets for k, y in sets if x and y and None not in (i, k) and i < k and share(x, y) >= least]
+    got = matching.similar_pairs(spark.createDataFrame(sets, "id long, values array<int>"), least)
+    assert sorted((r["id"], r["other"], round(r["jaccard"], 6)) for r in got.collect()) == sorted(want)
+
+
+def test_similar_sets_gives_the_pairs_and_how_alike_they_are(spark, tmp_path):
+    rows = [(1, [0]), (2, [0, 1]), (3, [0, 1]), (4, [2]), (5, [])]
+    spark.createDataFrame([(i, [0.5 if k in on else 0.0 for k in range(64)]) for i, on in rows], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalogue.QUERIES["similar_sets"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.select("id", "other", "jaccard").collect())) == [(1, 2, 0.5), (1, 3, 0.5), (2, 3, 1.0)]
