@@ -153,11 +153,53 @@ def held_pieces(seqs: DataFrame, classes: list[int], keys: np.ndarray) -> DataFr
     return seqs.select("node", "seq").mapInArrow(file, "key long, node long, place int, m int")
 
 
+def placed_minimizers(seqs: DataFrame, m: int, size: int) -> DataFrame:
+    """(key, seq, place, kind) of texts (seq) of m letters: under the minimizers of their windows of so many letters; kind 1: of the first window, 2: of a later one, 3: of both."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = piece(size)
+        for batch in batches:
+            for at, codes in by_length(batch.column(0).to_pylist()):
+                found, places = hashed_pieces(codes, k), minimizers(codes, size)
+                kind = np.zeros(found.shape, dtype=np.int8)
+                np.put_along_axis(kind, places[:, 1:], 2, axis=1)
+                kind[np.arange(len(codes)), places[:, 0]] |= 1
+                row, place = np.nonzero(kind)
+                columns = [pa.array(found[row, place].view(np.int64)), batch.column(0).take(pa.array(at[row])), pa.array(place.astype(np.int32)), pa.array(kind[row, place].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "seq", "place", "kind"])
+
+    return seqs.select("seq").mapInArrow(file, "key long, seq string, place int, kind int")
+
+
+def equivalent_of_one_length(seqs: DataFrame, m: int, share: float = SHARE) -> DataFrame:
+    """As equivalent_texts, of texts of m letters each among themselves: none holds another one, so that one's last k letters are another's first, with k from t to m - 1.
+
+    The window of t letters that ends one's overlap begins the other, so its minimizer is that of the other's first window. Texts come along with
+    the minimizers: a pair is told where they meet. Of the overlaps of a pair only the longest counts, and one the other way round gives its own row.
+    """
+    size = least_overlap(m, share)
+    one = placed_minimizers(seqs, m, size).repartition("key")
+    x, y = (one.toDF("key", name, f"{name}_place", f"{name}_kind") for name in ("seq", "other"))
+    d = F.col("seq_place") - F.col("other_place")
+    laps = lambda a, b, k: F.substr(a, k + 1, F.lit(m)) == F.substr(b, F.lit(1), m - k)
+    # Kinds are asked for together, so that one table of minimizers, dealt once, is both sides.
+    asked = F.col("seq_kind").bitwiseAND(2) + F.col("other_kind").bitwiseAND(1) == 3
+    met = x.join(y, "key").filter(asked & d.between(1, m - size) & (F.col("seq") != F.col("other")) & laps(F.col("seq"), F.col("other"), d))
+    shifts = F.sequence(F.lit(1), F.lit(m - size))
+    longest = ~F.exists(shifts, lambda k: (k < d) & laps(F.col("seq"), F.col("other"), k))
+    back = F.exists(shifts, lambda k: laps(F.col("other"), F.col("seq"), k))
+    pair = F.struct("seq", "other")
+    rows = met.filter(longest).select(F.explode(F.when(back, F.array(pair)).otherwise(F.array(pair, F.struct(F.col("other").alias("seq"), F.col("seq").alias("other"))))).alias("pair"))
+    return rows.select("pair.seq", "pair.other").union(seqs.select("seq", F.col("seq").alias("other")))
+
+
 def equivalent_texts(a: DataFrame, b: DataFrame | None = None, share: float = SHARE) -> DataFrame:
     """(seq, other) of equivalent texts of a and b (seq), which hold each once and no empty one; without b, of a and itself."""
     sides = {"a": a} if b is None else {"a": a, "b": b}
     side = {name: checkpointed(d.select(F.monotonically_increasing_id().alias("node"), "seq")) for name, d in sides.items()}
     lengths = {name: [r[0] for r in d.select(F.length("seq").alias("m")).distinct().collect()] for name, d in side.items()}  # as many as there are lengths
+    if b is None and len(lengths["a"]) == 1 and least_overlap(lengths["a"][0], share) < lengths["a"][0]:
+        return equivalent_of_one_length(side["a"].select("seq"), lengths["a"][0], share)
 
     def met(short: str, long: str) -> DataFrame:
         """The candidates (x, y, d) with x the shorter, d letters after y's start."""

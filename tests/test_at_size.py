@@ -119,3 +119,21 @@ def test_similar_sets_gives_the_pairs_and_how_alike_they_are(spark, tmp_path):
     spark.createDataFrame([(i, [0.5 if k in on else 0.0 for k in range(64)]) for i, on in rows], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = catalogue.QUERIES["similar_sets"](spark, str(tmp_path))
     assert sorted(map(tuple, found.select("id", "other", "jaccard").collect())) == [(1, 2, 0.5), (1, 3, 0.5), (2, 3, 1.0)]
+
+
+def test_texts_of_one_length_meet_with_their_minimizers(spark):
+    draw = random.Random(8)
+    long = "".join(draw.choice("ACDE") for _ in range(400))
+    texts = {long[at : at + 34] for at in (draw.randrange(360) for _ in range(150))} | {"A" * 34, "AC" * 17, "CA" * 17, "ACD" * 11 + "A", "A" * 33 + "C", "C" + "A" * 33, "CDA" * 11 + "C"}
+    alike = lambda x, y: any(x[-k:] == y[:k] or y[-k:] == x[:k] for k in range(27, 35))
+    found = overlap.equivalent_texts(spark.createDataFrame([(x,) for x in sorted(texts)], "seq string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x in texts for y in texts if alike(x, y)}
+
+
+def test_pieces_are_those_of_the_letters(spark):
+    texts = [None, "", "ab1c", "bjouxz BJOUXZ", "Straße – ſK İıK ab\ncd\x00ef", "é" * 9 + "abcdefghij"]
+    letters = ["".join(c for c in text or "" if c.isascii() and c.isalpha()).upper().translate(str.maketrans("BJOUXZ", "ACDEFG")) for text in texts]
+    found = catalogue.pieces_of_letters(spark.createDataFrame([(x,) for x in texts], "text string"), 4)
+    assert sorted(r[0] for r in found.collect()) == sorted(x[i : i + 4] for x in letters for i in range(0, len(x) - 3, 4))
