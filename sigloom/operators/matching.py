@@ -43,17 +43,32 @@ def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def counted_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """As jaccard_pairs, by counting what every two sets that share a member share. Tasks are as many as the pairs ask for, so that none grows with them."""
-    sized = sets.select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
-    members = checkpointed(sized.select("id", "n", F.explode("values").alias("member")))
-    pairs = members.groupBy("member").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
-    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(pairs / COUNTED))
-    dealt = members.repartition(tasks, "member")
-    other = dealt.select(F.col("id").alias("other"), F.col("n").alias("other_n"), "member")
-    met = dealt.join(other.hint("merge"), "member").filter(F.col("id") < F.col("other")).repartition(tasks, "id", "other")
-    shared = met.groupBy("id", "other", "n", "other_n").agg(F.count(F.lit(1)).alias("common"))
+    """As jaccard_pairs, by counting what every two sets that share a member share. Tasks are as many as the pairs ask for, so that none grows with them.
+
+    A pair isn't a row until it is counted: each set goes to its task with a list, for each of its members, of the smaller sets that have it (by size, then id).
+    """
+    sized = sets.filter("id is not null").select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
+    members = checkpointed(sized.select("id", "n", F.explode("values").alias("member")).filter("member is not null"))
+    counts = members.groupBy("member").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    pairs, most = counts.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.max("c")).first()
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil((pairs or 0) / COUNTED))
+    large = counts.filter(F.col("c") > BLOCK).select("member", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    dealt = members.join(F.broadcast(large), "member", "left") if (most or 0) > BLOCK else members.withColumn("blocks", F.lit(1))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
+    blocks = dealt.groupBy("member", "block").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("having"))
+    near = blocks.select(F.posexplode("having").alias("place", "x"), "having").select("x.id", "x.n", F.slice("having.id", F.lit(1), F.col("place")).alias("others"))
+    if (most or 0) > BLOCK:
+        some = checkpointed(blocks.join(F.broadcast(large.select("member")), "member", "left_semi"))
+        far = some.join(some.toDF("member", "other_block", "other_having"), "member").filter(F.col("block") != F.col("other_block"))
+        smaller = lambda y: y < F.col("x")
+        near = near.union(far.select(F.explode("having").alias("x"), "other_having").select("x.id", "x.n", F.transform(F.filter("other_having", smaller), lambda y: y["id"]).alias("others")))
+    lists = near.filter(F.size("others") > 0).withColumn("others", F.sort_array("others")).repartition(tasks, "id")
+    shared = lists.select("id", "n", F.explode("others").alias("other")).filter("id <> other").groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("common"))
+    # A set is a part of both together, and the other one is no larger.
+    some = shared.filter(F.col("common") >= F.col("n") * least - 1e-9)
     value = F.col("common") / (F.col("n") + F.col("other_n") - F.col("common"))
-    return shared.select("id", "other", value.alias("jaccard")).filter(F.col("jaccard") >= least)
+    both = some.join(members.select(F.col("id").alias("other"), F.col("n").alias("other_n")).distinct(), "other").withColumn("jaccard", value).filter(F.col("jaccard") >= least)
+    return both.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "jaccard")
 
 
 def keyed_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -137,3 +137,22 @@ def test_pieces_are_those_of_the_letters(spark):
     letters = ["".join(c for c in text or "" if c.isascii() and c.isalpha()).upper().translate(str.maketrans("BJOUXZ", "ACDEFG")) for text in texts]
     found = catalogue.pieces_of_letters(spark.createDataFrame([(x,) for x in texts], "text string"), 4)
     assert sorted(r[0] for r in found.collect()) == sorted(x[i : i + 4] for x in letters for i in range(0, len(x) - 3, 4))
+
+
+@pytest.mark.parametrize("block", [8, 1000])
+@pytest.mark.parametrize("least", [0.0, 0.05, 0.15])
+def test_pairs_are_counted_from_lists(spark, monkeypatch, least, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
+    draw = random.Random(11)
+    sets = [(f"s{i}", draw.sample(range(40), draw.randrange(0, 9)) + [None] * (i % 5 == 0) + [99] * (i % 2)) for i in range(80)]
+    size = lambda x: len(set(x))
+    common = lambda x, y: len(set(x) & set(y) - {None})
+    want = [(i, k, round(common(x, y) / (size(x) + size(y) - common(x, y)), 6)) for i, x in sets for k, y in sets if i < k and common(x, y) and common(x, y) / (size(x) + size(y) - common(x, y)) >= least]
+    df = spark.createDataFrame([*sets, (None, [1, 2, 99])], "id string, values array<int>")
+    assert sorted((r["id"], r["other"], round(r["jaccard"], 6)) for r in matching.counted_pairs(df, least).collect()) == sorted(want)
+
+
+def test_counted_pairs_are_no_rows_of_a_join(spark):
+    df = spark.createDataFrame([(i, [i % 7, 7 + i % 5, 100 + i]) for i in range(100)], "id long, values array<int>")
+    plan = matching.counted_pairs(df, 0.05)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and not any("Join" in line and "member" in line for line in plan.splitlines())
