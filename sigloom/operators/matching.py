@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import jaccard, same_set
 from sigloom.operators.labels import checkpointed
-from sigloom.operators.overlap import equivalent_pairs, equivalent_texts
+from sigloom.operators.overlap import equivalent_of_one_length, equivalent_pairs, equivalent_texts
 
 #: Below this similarity prefixes leave nearly nothing out.
 LEAST_FILTERED = 0.2
@@ -193,4 +193,4 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     return both.select("id", "other", jaccard(F.col("id_values"), F.col("other_values")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-__all__ = ["equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "equal_links", "jaccard_links", "equal_pairs", "similar_pairs", "jaccard_pairs", "jaccard"]
+__all__ = ["equivalent_of_one_length", "equivalent_pairs", "equivalent_texts", "specificity_match", "occurrences", "same_sets", "equal_links", "jaccard_links", "equal_pairs", "similar_pairs", "jaccard_pairs", "jaccard"]

@@ -153,19 +153,30 @@ def held_pieces(seqs: DataFrame, classes: list[int], keys: np.ndarray) -> DataFr
     return seqs.select("node", "seq").mapInArrow(file, "key long, node long, place int, m int")
 
 
+def codes_of(seqs: pa.StringArray, m: int) -> np.ndarray:
+    """The letters of texts of m letters as a matrix: where all are of one byte, the bytes as they lie."""
+    offsets = np.frombuffer(seqs.buffers()[1], dtype=np.int64 if pa.types.is_large_string(seqs.type) else np.int32)[seqs.offset : seqs.offset + len(seqs) + 1]
+    if offsets[-1] - offsets[0] == len(seqs) * m:
+        return np.frombuffer(seqs.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(len(seqs), m)
+    return np.array(seqs.to_pylist(), dtype=f"U{m}").view(np.uint32).reshape(len(seqs), m)
+
+
 def placed_minimizers(seqs: DataFrame, m: int, size: int) -> DataFrame:
     """(key, seq, place, kind) of texts (seq) of m letters: under the minimizers of their windows of so many letters; kind 1: of the first window, 2: of a later one, 3: of both."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = piece(size)
         for batch in batches:
-            for at, codes in by_length(batch.column(0).to_pylist()):
-                found, places = hashed_pieces(codes, k), minimizers(codes, size)
+            for first in range(0, batch.num_rows, max(1, CELLS // m)):
+                seqs = batch.column(0).slice(first, max(1, CELLS // m))
+                codes = codes_of(seqs, m)
+                found = hashed_pieces(codes, k)
+                places = np.lib.stride_tricks.sliding_window_view(found, size - k + 1, axis=1).argmin(axis=2) + np.arange(m - size + 1)
                 kind = np.zeros(found.shape, dtype=np.int8)
                 np.put_along_axis(kind, places[:, 1:], 2, axis=1)
                 kind[np.arange(len(codes)), places[:, 0]] |= 1
                 row, place = np.nonzero(kind)
-                columns = [pa.array(found[row, place].view(np.int64)), batch.column(0).take(pa.array(at[row])), pa.array(place.astype(np.int32)), pa.array(kind[row, place].astype(np.int32))]
+                columns = [pa.array(found[row, place].view(np.int64)), seqs.take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(kind[row, place].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "seq", "place", "kind"])
 
     return seqs.select("seq").mapInArrow(file, "key long, seq string, place int, kind int")

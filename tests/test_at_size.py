@@ -156,3 +156,14 @@ def test_counted_pairs_are_no_rows_of_a_join(spark):
     df = spark.createDataFrame([(i, [i % 7, 7 + i % 5, 100 + i]) for i in range(100)], "id long, values array<int>")
     plan = matching.counted_pairs(df, 0.05)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and not any("Join" in line and "member" in line for line in plan.splitlines())
+
+
+def test_letters_of_one_byte_and_of_more_have_the_same_codes():
+    import numpy as np
+    import pyarrow as pa
+
+    for texts in (["ACDE", "FGHI", "KLMN"], ["ACDE", "FéHI", "KLMN"]):
+        for kind in (pa.string(), pa.large_string()):
+            for first in (0, 1):
+                want = np.array([[ord(c) for c in x] for x in texts[first:]])
+                assert (overlap.codes_of(pa.array(texts, kind).slice(first), 4) == want).all()
