@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
 
@@ -18,6 +19,8 @@ LEAST_FILTERED = 0.2
 PARTS = 100
 #: Pairs that a task counts, or writes out.
 COUNTED = 1_000_000
+#: Pairs whose lists are on disk at once.
+ROUND = 300_000_000
 #: Rows with one set that stand together where their pairs are written out.
 BLOCK = 1_000
 
@@ -46,6 +49,7 @@ def counted_pairs(sets: DataFrame, least: float) -> DataFrame:
     """As jaccard_pairs, by counting what every two sets that share a member share. Tasks are as many as the pairs ask for, so that none grows with them.
 
     A pair isn't a row until it is counted: each set goes to its task with a list, for each of its members, of the smaller sets that have it (by size, then id).
+    Where the lists are too many for the disk, the sets take turns.
     """
     sized = sets.filter("id is not null").select("id", F.array_distinct("values").alias("values")).withColumn("n", F.size("values"))
     members = checkpointed(sized.select("id", "n", F.explode("values").alias("member")).filter("member is not null"))
@@ -56,12 +60,23 @@ def counted_pairs(sets: DataFrame, least: float) -> DataFrame:
     dealt = members.join(F.broadcast(large), "member", "left") if (most or 0) > BLOCK else members.withColumn("blocks", F.lit(1))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
     blocks = dealt.groupBy("member", "block").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("having"))
-    near = blocks.select(F.posexplode("having").alias("place", "x"), "having").select("x.id", "x.n", F.slice("having.id", F.lit(1), F.col("place")).alias("others"))
-    if (most or 0) > BLOCK:
+    rounds = max(1, ceil((pairs or 0) / ROUND))
+    if rounds == 1:
+        return counted_in_turn(blocks, members, large if (most or 0) > BLOCK else None, tasks, least, F.lit(True))
+    blocks = checkpointed(blocks)
+    turns = [F.pmod(F.xxhash64("x.id"), F.lit(rounds)) == r for r in range(rounds)]
+    found = [checkpointed(counted_in_turn(blocks, members, large if most > BLOCK else None, ceil(tasks / rounds), least, turn)) for turn in turns]
+    return reduce(DataFrame.union, found)
+
+
+def counted_in_turn(blocks: DataFrame, members: DataFrame, large: DataFrame | None, tasks: int, least: float, turn) -> DataFrame:
+    """(id, other, jaccard) of the sets x whose turn it is and the smaller ones, given members (id, n, member) and blocks (member, block, having); large: the members of several blocks."""
+    near = blocks.select(F.posexplode("having").alias("place", "x"), "having").filter(turn).select("x.id", "x.n", F.slice("having.id", F.lit(1), F.col("place")).alias("others"))
+    if large is not None:
         some = checkpointed(blocks.join(F.broadcast(large.select("member")), "member", "left_semi"))
         far = some.join(some.toDF("member", "other_block", "other_having"), "member").filter(F.col("block") != F.col("other_block"))
         smaller = lambda y: y < F.col("x")
-        near = near.union(far.select(F.explode("having").alias("x"), "other_having").select("x.id", "x.n", F.transform(F.filter("other_having", smaller), lambda y: y["id"]).alias("others")))
+        near = near.union(far.select(F.explode("having").alias("x"), "other_having").filter(turn).select("x.id", "x.n", F.transform(F.filter("other_having", smaller), lambda y: y["id"]).alias("others")))
     lists = near.filter(F.size("others") > 0).withColumn("others", F.sort_array("others")).repartition(tasks, "id")
     shared = lists.select("id", "n", F.explode("others").alias("other")).filter("id <> other").groupBy("id", "n", "other").agg(F.count(F.lit(1)).alias("common"))
     # A set is a part of both together, and the other one is no larger.

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from sigloom.operators import molecules as M
-from sigloom.operators import matching, overlap, population, stratify
+from sigloom.operators import labels, matching, overlap, population, stratify
 from sigloom.plans import catalogue, further  # noqa: F401 (adds its queries)
 from sigloom.sources import sqlsurface
 
@@ -167,3 +167,27 @@ def test_letters_of_one_byte_and_of_more_have_the_same_codes():
             for first in (0, 1):
                 want = np.array([[ord(c) for c in x] for x in texts[first:]])
                 assert (overlap.codes_of(pa.array(texts, kind).slice(first), 4) == want).all()
+
+
+@pytest.mark.parametrize("block", [8, 1000])
+def test_sets_take_turns_where_lists_are_too_many(spark, monkeypatch, block):
+    draw = random.Random(12)
+    df = spark.createDataFrame([(i, draw.sample(range(30), 6)) for i in range(60)], "id long, values array<int>")
+    want = sorted(map(tuple, matching.counted_pairs(df, 0.1).collect()))
+    turns = []
+    plain = matching.counted_in_turn
+    monkeypatch.setattr(matching, "counted_in_turn", lambda *args: turns.append(1) or plain(*args))
+    monkeypatch.setattr(matching, "BLOCK", block)
+    monkeypatch.setattr(matching, "ROUND", 100)
+    got = matching.counted_pairs(df, 0.1)
+    assert len(turns) > 1 and sorted(map(tuple, got.collect())) == want
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    def shuffle_files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+    before, asked = shuffle_files(), spark.conf.get(labels.TIDY)
+    found = labels.checkpointed(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    assert shuffle_files() <= before and spark.conf.get(labels.TIDY) == asked and found.count() == 7
